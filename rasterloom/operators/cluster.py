@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +92,38 @@ def lloyd(
         blocks.unpersist()
 
 
+def lloyd_local(blocks: DataFrame, k: int, r: int | None = None, seed: int = 0, check: Callable[[], None] = lambda: None) -> list[list[float]]:
+    """The same algorithm on a sample that fits the driver by its bound: the rows are fetched once, and no job runs by iteration."""
+    features = features_of(blocks)
+    exact = r is not None and all(f"n{f[1:]}" in blocks.columns for f in features)
+    columns = [f"n{f[1:]}" for f in features] if exact else features
+    table = blocks.select("blk_y", "blk_x", *features, *(columns if exact else [])).toPandas().sort_values(["blk_y", "blk_x"], kind="stable")
+    if k < 1 or len(table) < k:
+        raise ValueError(f"{k} segments need as many descriptors, one at least; there are {len(table)}")
+    points, sums = table[features].to_numpy(np.float64), table[columns].to_numpy()
+    places = (table["blk_y"].to_numpy(np.int64) * 73856093 + table["blk_x"].to_numpy(np.int64) * 19349663 + seed * 83492791) % 1000003
+    order = np.argsort(places, kind="stable")
+    _, first = np.unique(points[order], axis=0, return_index=True)
+    chosen = np.sort(first)[:k]
+    chosen = np.append(chosen, np.setdiff1d(np.arange(len(order)), chosen)[: k - len(chosen)])
+    centers = points[order[chosen]]
+    for _ in range(MAX_ITERATIONS):
+        check()
+        gaps = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(2)
+        label = gaps.argmin(1)
+        spare = iter(np.argsort(-gaps.min(1), kind="stable"))
+        new = np.array([sums[label == c].sum(0) / float((label == c).sum() * (9 * r * r if exact else 1)) if (label == c).any() else points[next(spare)] for c in range(k)])
+        moved = np.sqrt(((new - centers) ** 2).sum(1)).max()
+        centers = new
+        if moved <= TOLERANCE:
+            break
+    return centers.tolist()
+
+
 def fit_centers(blocks: DataFrame, rows: int, cols: int, k: int, r: int | None = None, scale: float = 1.0, seed: int = 0, backend: str = "lloyd", check: Callable[[], None] = lambda: None) -> list[list[float]]:
     """Centres fitted once on a bounded sample of a raster's blocks, darkest first."""
     sample = sample_blocks(blocks, rows, cols, sample_cap(scale), seed)
-    centers = ml_kmeans(sample, k, seed) if backend == "ml" else lloyd(sample, k, r, seed, check=check)
+    centers = ml_kmeans(sample, k, seed) if backend == "ml" else lloyd_local(sample, k, r, seed, check)
     return by_brightness(centers)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RasterMeta
+from ..store import settled
 from .nearest import gather_mean, knn
 from .resample import bilinear_resize, nearest_resize
 from .sampling import stratified_sample
@@ -68,19 +69,16 @@ def refine_core(cells: DataFrame, meta: RasterMeta, centers: list[list[float]],
     """(y, x, label, p0..pk) of one level: ``cells`` has y, x, vec and the seed label."""
     k = len(centers)
     names = [f"p{c}" for c in range(k)]
-    seen = placed(cells.withColumn("label", F.greatest(F.lit(0), F.least(F.col("label"), F.lit(k - 1)))), meta, cfg.spatial_weight).persist()
-    try:
-        index = stratified_sample(seen, cfg.index_points)
-        edges = knn(seen, index, cfg.neighbors, "id", "where").select("id", "neighbour").persist()
-        now = posteriors(seen, centers, cfg.temperature).select("id", *names)
-        for _ in range(max(1, cfg.iterations)):
-            near = gather_mean(edges, now, names).select("id", *[F.col(c).alias(f"__{c}") for c in names])
-            now = now.join(near, "id").select("id", *[((1.0 - cfg.mix) * F.col(c) + cfg.mix * F.col(f"__{c}")).alias(c) for c in names])
-        best = F.least(*[F.struct((-F.col(c)).alias("v"), F.lit(n).alias("k")) for n, c in enumerate(names)]) if k > 1 else F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("k"))
-        out = now.select((F.col("id") / meta.width).cast("int").alias("y"), (F.col("id") % meta.width).cast("int").alias("x"), best["k"].alias("label"), *names)
-        return out.persist()
-    finally:
-        seen.unpersist()
+    seen = settled(placed(cells.withColumn("label", F.greatest(F.lit(0), F.least(F.col("label"), F.lit(k - 1)))), meta, cfg.spatial_weight))
+    index = stratified_sample(seen, cfg.index_points)
+    edges = settled(knn(seen, index, cfg.neighbors, "id", "where").select("id", "neighbour"))
+    now = posteriors(seen, centers, cfg.temperature).select("id", *names)
+    for _ in range(max(1, cfg.iterations)):
+        now = settled(now)
+        near = gather_mean(edges, now, names).select("id", *[F.col(c).alias(f"__{c}") for c in names])
+        now = now.join(near, "id").select("id", *[((1.0 - cfg.mix) * F.col(c) + cfg.mix * F.col(f"__{c}")).alias(c) for c in names])
+    best = F.least(*[F.struct((-F.col(c)).alias("v"), F.lit(n).alias("k")) for n, c in enumerate(names)]) if k > 1 else F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("k"))
+    return now.select((F.col("id") / meta.width).cast("int").alias("y"), (F.col("id") % meta.width).cast("int").alias("x"), best["k"].alias("label"), *names)
 
 
 def refine(cells: DataFrame, meta: RasterMeta, centers: list[list[float]], config: dict | None = None) -> DataFrame:
@@ -98,6 +96,6 @@ def refine(cells: DataFrame, meta: RasterMeta, centers: list[list[float]], confi
         wide = cells.select("y", "x", *[F.element_at("vec", d + 1).cast("double").alias(f"v{d}") for d in range(dims)])
         vecs = bilinear_resize(wide, meta, small, [f"v{d}" for d in range(dims)]).select("y", "x", F.array(*[f"v{d}" for d in range(dims)]).alias("vec"))
         seeds = nearest_resize(cells, meta, small, ["label"])
-        coarse = refine_core(vecs.join(seeds, ["y", "x"]), small, centers, cfg)
+        coarse = settled(refine_core(vecs.join(seeds, ["y", "x"]), small, centers, cfg))
         cells = cells.drop("label").join(nearest_resize(coarse, small, meta, ["label"]), ["y", "x"])
     return refine_core(cells, meta, centers, cfg)

@@ -20,9 +20,10 @@ BATCH_BUDGET = 128 << 20
 def tile(pixels: DataFrame, t: int, keys: list[str] | None = None) -> DataFrame:
     """(keys, ty, tx, data): t x t tiles, each band's cells row by row, zeros beyond the raster."""
     bands = bands_of(pixels)
-    cell = F.struct((F.col("y") % t * t + F.col("x") % t).alias("i"), *bands)
-    held = pixels.groupBy(*(keys or []), F.expr(f"CAST(y div {t} AS INT) AS ty"), F.expr(f"CAST(x div {t} AS INT) AS tx")).agg(F.map_from_entries(F.collect_list(F.struct(cell["i"].alias("i"), F.struct(*bands).alias("v")))).alias("m"))
-    planes = [F.transform(F.sequence(F.lit(0), F.lit(t * t - 1)), lambda i, b=b: F.coalesce(F.col("m")[i.cast("int")][b].cast("double"), F.lit(0.0))) for b in bands]
+    place = (F.col("y") % t * t + F.col("x") % t).cast("int")
+    held = pixels.groupBy(*(keys or []), F.expr(f"CAST(y div {t} AS INT) AS ty"), F.expr(f"CAST(x div {t} AS INT) AS tx")).agg(F.map_from_entries(F.collect_list(F.struct(place.alias("i"), F.struct(*bands).alias("v")))).alias("m"))
+    plane = lambda b: F.transform(F.sequence(F.lit(0), F.lit(t * t - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i)[b].cast("double"), F.lit(0.0)))
+    planes = [plane(b) for b in bands]
     return held.select(*(keys or []), "ty", "tx", F.array(*planes).alias("data"))
 
 
@@ -99,7 +100,8 @@ def recommended_batch(bands: int, height: int, width: int, budget: int | None =
 
 def load_model(model_or_loader):
     """The model, made by its loader where it isn't one; it must have ``forward``."""
-    model = model_or_loader if hasattr(model_or_loader, "forward") else model_or_loader() if callable(model_or_loader) else None
+    made = hasattr(model_or_loader, "forward") and not isinstance(model_or_loader, type)
+    model = model_or_loader if made else model_or_loader() if callable(model_or_loader) else None
     if model is None:
         raise RuntimeError("the model could not be loaded")
     if hasattr(model, "eval"):
