@@ -72,14 +72,20 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str = "id", vec_col
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, points = shared.value
-            step = max(1, TILE_PAIRS // max(1, points.size))
+            sizes, step = (points**2).sum(1), max(1, TILE_PAIRS // len(points))
             for pdf in batches:
                 tops = []
                 for at in range(0, len(pdf), step):
                     asks = np.array(pdf["vec"].iloc[at : at + step].tolist(), np.float64)
-                    gaps = ((asks[:, None, :] - points[None, :, :]) ** 2).sum(2)
-                    best = np.argsort(gaps, 1, kind="stable")[:, :k]
-                    tops += [[{"dist2": float(g[j]), "neighbour": int(names[j])} for j in row] for g, row in zip(gaps, best)]
+                    # one matrix product finds all that rounding may put among the k best, and those are measured exactly
+                    own = (asks**2).sum(1)[:, None]
+                    rough = own + sizes[None, :] - 2 * (asks @ points.T)
+                    bound = np.partition(rough, min(k, len(points)) - 1, 1)[:, min(k, len(points)) - 1 : min(k, len(points))]
+                    bound = bound + 1e-9 * (own + sizes.max() + 1)
+                    for ask, row, most in zip(asks, rough, bound):
+                        near = np.flatnonzero(row <= most)
+                        gaps = ((points[near] - ask) ** 2).sum(1)
+                        tops.append([{"dist2": float(gaps[j]), "neighbour": int(names[near[j]])} for j in np.argsort(gaps, kind="stable")[:k]])
                 yield pd.DataFrame({"id": pdf["id"], "top": tops})
 
         return run

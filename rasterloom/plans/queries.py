@@ -69,10 +69,10 @@ for _r in (4, 8, 16):
     _pool(_r)
 
 
-@query(f"WITH {pool_sql(16, tables.EVENTS_SQL)} SELECT bl.* FROM bl WHERE blk_y = (SELECT max(blk_y) FROM bl) OR blk_x = (SELECT max(blk_x) FROM bl)")
+@query(f"WITH {pool_sql(16, tables.EVENTS_SQL)} SELECT * FROM bl")
 def pool_padding_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, meta = tables.events_raster(spark, sf_dir)
-    return focal.pool(px, meta, 16).where(f"blk_y = {-(-meta.height // 16) - 1} OR blk_x = {-(-meta.width // 16) - 1}")
+    return focal.pool(px, meta, 16)
 
 
 @query(f"WITH {pool_sql(1)} SELECT blk_y AS y, blk_x AS x, n0, n1, n2, f0, f1, f2 FROM bl")
