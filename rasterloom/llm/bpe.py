@@ -222,6 +222,11 @@ def encode_with(codec: Codec, text: str, shared: dict[bytes, tuple]) -> list[int
     return out + codec.fast.encode_ordinary(data[done:].decode())
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+
+
 def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
     """The ``keep`` columns (all) with n_tokens, ids_sha256 and decoded_sha256 of each whole text; with ``ids`` also the ids.
 
@@ -243,8 +248,8 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
                 digests.append(codec.digest(found))
                 decoded.append(hashlib.sha256(codec.decode(found).encode("utf-8", "surrogatepass")).hexdigest())
                 if ids:
-                    lists.append(found)
-            return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([pa.array(lists, pa.list_(pa.int32()))] if ids else [])]
+                    lists.append(np.array(found, np.int32))
+            return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([_lists(lists)] if ids else [])]
 
         return each
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: An Arrow batch is worked off in pieces of about so many bytes, which bounds what a worker holds besides it.
+PIECE_BYTES = 8 << 20
 #: A table is broadcast up to this many bytes; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -46,6 +48,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs of about PIECE_BYTES."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes))
+        for at in range(0, max(1, batch.num_rows), step):
+            yield batch.slice(at, step)
+
+
 def add_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -53,10 +63,10 @@ def add_columns(
     needs: list[str],
     keep: list[str],
 ) -> DataFrame:
-    """The ``keep`` columns and, computed by Arrow batch, the ``fields``. ``work()`` runs once a task.
+    """The ``keep`` columns and, computed by piece of an Arrow batch, the ``fields``. ``work()`` runs once a task.
 
     Kept columns with a new field's name (in any case) give way to it. Batches are bounded in bytes by
-    spark.sql.execution.arrow.maxBytesPerBatch.
+    spark.sql.execution.arrow.maxBytesPerBatch, pieces by PIECE_BYTES (a longer row is a piece by itself).
     """
     new = {f.name.lower() for f in fields}
     keep = [c for c in keep if c.lower() not in new]
@@ -66,7 +76,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
         names = [*keep, *[f.name for f in fields]]
-        for batch in batches:
+        for batch in pieces(batches):
             made = each(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], *made], names=names)
 
