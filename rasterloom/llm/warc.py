@@ -163,11 +163,13 @@ def _reader(gap: int, most: int):
     return run
 
 
-def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, block: int = 32 << 20) -> DataFrame:
+def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, block: int = 8 << 20) -> DataFrame:
     """The records that the rows of ``index`` (file, offset, length) select, with payloads.
 
     Rows are dealt by file and block of ``block`` bytes and sorted by offset; ranges at most ``gap`` bytes apart are read
     together, up to ``most`` bytes at once (a longer record by itself).
     """
-    placed = index.select("file", "offset", "length").repartition("file", F.expr(f"offset div {block}")).sortWithinPartitions("file", "offset")
+    # the index is small and the archives aren't: adaptive execution would join its partitions into one task
+    tasks = 1 + int((index.agg(F.sum("length").alias("n")).first()["n"] or 0) // block)
+    placed = index.select("file", "offset", "length").repartition(tasks, "file", F.expr(f"offset div {block}")).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(_reader(gap, most), RECORDS)
