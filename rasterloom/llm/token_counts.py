@@ -11,7 +11,7 @@ from .bpe import Codec
 from .common import add_columns, stored
 
 #: Lengths in a block of the suffix sums: each block is summed by itself, and then the blocks.
-BLOCK = 1024
+BLOCK = 128
 
 
 def lengths(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
