@@ -531,11 +531,11 @@ def rendering_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT 'S' || s_suppkey AS layer_id, s_suppkey * 0.5 AS xmin, s_suppkey * 0.25 AS ymin, s_suppkey + 10.5 AS xmax, s_suppkey + 20.0 AS ymax, CASE WHEN s_suppkey % 3 = 0 THEN 'EPSG:' || (4326 + s_suppkey % 2) WHEN s_suppkey % 3 = 1 THEN '' END AS crs FROM supplier),
   t AS (SELECT *, concat_ws(',', xmin::DOUBLE::VARCHAR, xmax::DOUBLE::VARCHAR, ymin::DOUBLE::VARCHAR, ymax::DOUBLE::VARCHAR) AS p FROM e)
-  SELECT layer_id, CASE WHEN length(coalesce(crs, '')) > 0 THEN p || ' [' || crs || ']' ELSE p END AS extent, [layer_id] AS layers, 1.0::DOUBLE AS map_units_per_pixel, '' AS output FROM t""")
+  SELECT layer_id, CASE WHEN length(coalesce(crs, '')) > 0 THEN p || ' [' || crs || ']' ELSE p END AS extent, layer_id AS layers, 1.0::DOUBLE AS map_units_per_pixel, '' AS output FROM t""")
 def extent_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     rows = tables.read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), key).alias("layer_id"), (key * 0.5).alias("xmin"), (key * 0.25).alias("ymin"), (key + 10.5).alias("xmax"), (key + 20.0).alias("ymax"), F.when(key % 3 == 0, F.concat(F.lit("EPSG:"), 4326 + key % 2)).when(key % 3 == 1, F.lit("")).alias("crs"))
-    return layers.render_params(rows)
+    return layers.render_params(rows).withColumn("layers", F.concat_ws(",", "layers"))
 
 
 LOG_SQL = """lg AS (SELECT event_id AS seq, user_id AS run, CASE event_id % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'worker' ELSE 'debug' END AS category,
