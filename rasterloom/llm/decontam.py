@@ -28,7 +28,7 @@ SAMPLES, DIFFER, RECALL = 4, 0.4, 0.95
 #: Windows of a class are as long as its shortest item; its longest is longer by this factor at most.
 CLASS_RATIO = 1.25
 #: Items sent to the workers at once; more are searched block by block.
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS = 10_000
 #: Bytes of text taken at once (a longer text by itself).
 BATCH_BYTES = 2 << 20
 PRIME = 0x9E3779B97F4A7C15
@@ -84,6 +84,11 @@ class Items:
         self.repeats = math.ceil(math.log(1 - recall) / math.log(1 - (1 - DIFFER) ** SAMPLES))
         luck = np.random.default_rng(seed)
         sized = sorted((len(w), k) for k, w in enumerate(self.words) if len(w) >= LEAST_WORDS)
+        # each word's random bit for each step of a repetition's walk, 64 steps a number
+        numbers = 1 + 3 * max((m for m, _ in sized), default=0) // 2 // 64
+        self.bits = [luck.integers(0, 1 << 64, (numbers, n + 2), dtype=np.uint64) for _ in range(self.repeats)]
+        for bits in self.bits:
+            bits[:, self.past] = 0
         self.classes = []
         taken = 0
         while taken < len(sized):
@@ -91,37 +96,40 @@ class Items:
             members = [k for m, k in sized[taken:] if m <= width * CLASS_RATIO]
             longest = max(len(self.words[k]) for k in members)
             taken += len(members)
-            steps = 3 * width
             walks = []
-            for _ in range(self.repeats):
-                bits = luck.integers(0, 2, (steps, n + 2), dtype=np.int8)
-                bits[:, self.past] = 0
-                sampled = np.sort(luck.choice(steps // 2, SAMPLES, replace=False))  # later ones lie past the end of quick walks
-                rows = np.stack([self.words[k][:width] for k in members]).astype(np.int64)
-                at = np.arange(len(members)) * width
-                keys, _ = self.walk(rows.reshape(-1), at, at + width, bits, sampled)
+            for bits in self.bits:
+                sampled = np.sort(luck.choice(3 * width // 2, SAMPLES, replace=False)).tolist()  # later steps lie past the end of quick walks
+                rows = np.concatenate([self.words[k][:width] for k in members])
+                at = np.arange(len(members), dtype=np.int32) * width
+                keys = self.walk(rows, at, at + width, bits, sampled)
                 table = defaultdict(list)
-                for key, k in zip(keys.tolist(), members):
+                for key, k in zip(keys[-1].tolist(), members):
                     table[key].append(k)
-                walks.append((bits, sampled, np.array(sorted(table), np.uint64), dict(table)))
+                walks.append((bits, sampled, [np.unique(level) for level in keys], dict(table)))
             self.classes.append((width, width - int(EDITS * longest), walks))
         self.masks: dict[int, dict[int, int]] = {}
 
-    def walk(self, symbols: np.ndarray, at: np.ndarray, end: np.ndarray, bits: np.ndarray, sampled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embed the windows from ``at`` to ``end``: the key of the sampled steps, and the windows that have one.
+    def walk(self, symbols: np.ndarray, at: np.ndarray, end: np.ndarray, bits: np.ndarray, sampled: list[int], levels: list[np.ndarray] | None = None):
+        """Embed the windows from ``at`` to ``end``, and hash the sampled steps' words into a key, step by step.
 
-        A window is dropped at the first sampled word that no item has: its key would match none.
+        Without ``levels``: the keys after each sampled step. With the items' own keys as ``levels``, a window is dropped
+        as soon as its key so far is no item's: the final keys, and the windows that are left.
         """
-        place, key, live = at.copy(), np.zeros(len(at), np.uint64), np.arange(len(at))
-        wanted = set(sampled.tolist())
-        for step in range(int(sampled[-1]) + 1):
-            out = np.where(place < end, symbols[np.minimum(place, len(symbols) - 1)], self.past)
-            if step in wanted:
+        place, key, live, seen = at.copy(), np.zeros(len(at), np.uint64), np.arange(len(at)), []
+        for step in range(sampled[-1] + 1):
+            out = symbols[np.minimum(place, len(symbols) - 1)]
+            if (place >= end).any():
+                out = np.where(place < end, out, np.int32(self.past))
+            if step in sampled:
                 key = key * np.uint64(0x100000001B3) + out.astype(np.uint64) + np.uint64(1)
-                keep = out != self.none
-                place, key, live, end, out = place[keep], key[keep], live[keep], end[keep], out[keep]
-            place = place + bits[step][out]
-        return key, live
+                if levels is None:
+                    seen.append(key)
+                else:
+                    own = levels[sampled.index(step)]
+                    keep = np.flatnonzero(own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
+                    place, key, live, end, out = place[keep], key[keep], live[keep], end[keep], out[keep]
+            place += (bits[step >> 6][out] >> np.uint64(step & 63)).astype(np.int32) & 1
+        return seen if levels is None else (key, live)
 
     def distance(self, k: int, region: np.ndarray) -> tuple[int, int]:
         """(edits, end) of the stretch of ``region`` nearest to item ``k``, by bit-parallel dynamic programming."""
@@ -151,7 +159,7 @@ class Items:
         """For each text, its leaks by item: the fewest edits, the item's words, and the end of the stretch."""
         hashes, first = words_of(texts)
         known = np.flatnonzero(self.maybe[(hashes >> np.uint64(48)).astype(np.int64)]) if len(hashes) else np.zeros(0, np.int64)
-        symbols = np.full(len(hashes), self.none, np.int64)
+        symbols = np.full(len(hashes), self.none, np.int32)
         place = np.minimum(np.searchsorted(self.vocabulary, hashes[known]), max(0, len(self.vocabulary) - 1))
         found = self.vocabulary[place] == hashes[known] if len(self.vocabulary) else np.zeros(0, bool)
         symbols[known[found]] = place[found]
@@ -164,10 +172,11 @@ class Items:
             at = np.flatnonzero(count[np.arange(len(symbols)) + reach] - count[:-1] >= max(1, least))
             if not len(at):
                 continue
-            for bits, sampled, keys, table in walks:
-                key, live = self.walk(symbols, at, at + reach[at], bits, sampled)
-                hit = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key)
-                pairs.update((int(at[live[h]]), k) for h in hit for k in table[int(key[h])])
+            at = at.astype(np.int32)
+            ends = at + reach[at].astype(np.int32)
+            for bits, sampled, levels, table in walks:
+                key, live = self.walk(symbols, at, ends, bits, sampled, levels)
+                pairs.update((int(w), k) for h, w in zip(key.tolist(), at[live].tolist()) for k in table[h])
         leaks: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         covered: dict[tuple[int, int], int] = {}
         for at, k in sorted(pairs):
