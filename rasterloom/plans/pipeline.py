@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.config import BlurConfig, checked_segments
 from ..operators import cluster, focal, nearest, refine, resample, tiles
-from ..operators.grid import block_windows, cells_of, stitch
-from ..schema import RasterMeta, features_of
+from ..operators.grid import block_windows, cells_of, in_windows, stitch, with_halo
+from ..schema import RasterMeta, bands_of, features_of, grid
 
 
 class Canceled(RuntimeError):
@@ -115,6 +115,32 @@ def segment_in_chunks(pixels: DataFrame, meta: RasterMeta, centers: list[list[fl
     return stitch(labelled.join(cover, ["blk_y", "blk_x"]), "label", ["blk_y", "blk_x"])
 
 
+def segment_displaced(pixels: DataFrame, meta: RasterMeta, centers: list[list[float]], r: int, chunk_size: int, halo: int = 3) -> DataFrame:
+    """Block labels as a chunk loop gives them that pools each chunk from the first pixel of its halo. (blk_y, blk_x, label)
+
+    For comparison with such results only. Chunks away from the top or left edge are displaced by the halo, chunks give
+    blocks for their size less two halos, and blocks that no chunk gives are labelled zero. Chunks are a key of the pooling,
+    so all of them are pooled at once.
+    """
+    rows, cols = -(-meta.height // r), -(-meta.width // r)
+    windows = block_windows(pixels.sparkSession, meta.height, meta.width, r, chunk_size)
+    cores = windows.select("chunk", F.col("y0").alias("by"), F.col("x0").alias("bx"), *[(F.col(c) * r).alias(c) for c in ("y0", "x0")], F.least(F.col("y1") * r, F.lit(meta.height)).alias("y1"), F.least(F.col("x1") * r, F.lit(meta.width)).alias("x1"))
+    grown = with_halo(cores, halo, meta.height, meta.width)
+
+    def given(low: str, high: str, first: str, most: int):
+        size = F.col(high) - F.col(low)
+        core = F.when(size > 2 * halo, size - 2 * halo).otherwise(size)
+        return F.least(F.ceil(core / r).cast("int"), most - F.col(first))
+
+    read = grown.select("chunk", "by", "bx", F.col("hy0").alias("y0"), F.col("hx0").alias("x0"), F.col("hy1").alias("y1"), F.col("hx1").alias("x1"), given("hy0", "hy1", "by", rows).alias("ny"), given("hx0", "hx1", "bx", cols).alias("nx"))
+    local = in_windows(pixels, read, chunk_size).select("chunk", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), *bands_of(pixels))
+    blocks = focal.pool(local, RasterMeta(meta.height + 2 * halo + r, meta.width + 2 * halo + r, meta.bands), r, ["chunk"])
+    labelled = nearest.assign(blocks, centers, features_of(blocks)).join(read.select("chunk", "by", "bx", "ny", "nx"), "chunk").where("blk_y < ny AND blk_x < nx")
+    written = stitch(labelled.select("chunk", (F.col("blk_y") + F.col("by")).alias("blk_y"), (F.col("blk_x") + F.col("bx")).alias("blk_x"), "label"), "label", ["blk_y", "blk_x"])
+    every = grid(pixels.sparkSession, rows, cols).select(F.col("y").alias("blk_y"), F.col("x").alias("blk_x"))
+    return every.join(written, ["blk_y", "blk_x"], "left").select("blk_y", "blk_x", F.coalesce("label", F.lit(0)).alias("label"))
+
+
 def segment_latent(
     pixels: DataFrame,
     meta: RasterMeta,

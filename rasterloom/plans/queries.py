@@ -273,6 +273,27 @@ def chunk_coverage_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.segment_in_chunks(px, meta, BRIGHT, R, 8 * R)
 
 
+BLOCK_WINDOWS_SQL = f"""{tables.ORDERS_SQL}, sz AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), bz AS (SELECT (h + {R - 1}) // {R} AS bh, (w + {R - 1}) // {R} AS bw FROM sz),
+  sd AS (SELECT bh, bw, least(8, bh) AS th, least(least(8, bh), bw) AS tw FROM bz),
+  ys AS (SELECT unnest(CASE WHEN bh <= th THEN [0] ELSE list_distinct(list_concat(range(0, greatest(1, bh - th), greatest(1, th - 1)), [bh - th])) END) AS y0 FROM sd),
+  xs AS (SELECT unnest(CASE WHEN bw <= tw THEN [0] ELSE list_distinct(list_concat(range(0, greatest(1, bw - tw), greatest(1, tw - 1)), [bw - tw])) END) AS x0 FROM sd),
+  wn AS (SELECT row_number() OVER (ORDER BY y0, x0) - 1 AS chunk, y0, x0, greatest(0, y0 * {R} - 3) AS hy0, greatest(0, x0 * {R} - 3) AS hx0,
+    least(h, least(least(y0 + th, bh) * {R}, h) + 3) AS hy1, least(w, least(least(x0 + tw, bw) * {R}, w) + 3) AS hx1, bh, bw FROM ys, xs, sd, sz),
+  cw AS (SELECT *, least(((CASE WHEN hy1 - hy0 > 6 THEN hy1 - hy0 - 6 ELSE hy1 - hy0 END) + {R - 1}) // {R}, bh - y0) AS ny, least(((CASE WHEN hx1 - hx0 > 6 THEN hx1 - hx0 - 6 ELSE hx1 - hx0 END) + {R - 1}) // {R}, bw - x0) AS nx FROM wn)"""
+
+
+@query(f"""WITH {BLOCK_WINDOWS_SQL}, off AS (SELECT unnest([-1, 0, 1]) AS d),
+  sm AS (SELECT chunk, y0, x0, y - hy0 + a.d AS ty, x - hx0 + b.d AS tx, b0, b1, b2 FROM px JOIN cw ON y >= hy0 AND y < hy1 AND x >= hx0 AND x < hx1, off a, off b
+    WHERE y - hy0 + a.d BETWEEN 0 AND ny * {R} - 1 AND x - hx0 + b.d BETWEEN 0 AND nx * {R} - 1),
+  gr AS (SELECT chunk, y0 + ty // {R} AS blk_y, x0 + tx // {R} AS blk_x, {", ".join(f"CAST(CAST(sum(b{n}) AS BIGINT) AS DOUBLE) / CAST({9 * R * R} AS DOUBLE) AS f{n}" for n in range(3))} FROM sm GROUP BY 1, 2, 3),
+  bl AS (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY blk_y, blk_x ORDER BY chunk DESC) = 1), {assign_sql(BRIGHT)},
+  ev AS (SELECT a.y AS blk_y, b.x AS blk_x FROM (SELECT unnest(range(bh)) AS y FROM bz) a, (SELECT unnest(range(bw)) AS x FROM bz) b)
+  SELECT CAST(ev.blk_y AS INTEGER) AS blk_y, CAST(ev.blk_x AS INTEGER) AS blk_x, coalesce(label, 0) AS label FROM ev LEFT JOIN asg USING (blk_y, blk_x)""")
+def chunk_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px, meta = tables.orders_raster(spark, sf_dir)
+    return pipeline.segment_displaced(px, meta, BRIGHT, R, 8 * R)
+
+
 # labels, planes and zones
 
 
