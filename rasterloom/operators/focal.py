@@ -11,13 +11,18 @@ from ..schema import RasterMeta, bands_of
 
 #: Classes whose planes one row of the label blur carries.
 PLANES = 16
+#: Gaussian kernels up to this radius are written out and compiled; longer ones walk an array.
+COMPILED_RADIUS = 12
 
 
 def _shares(p: str, r: int, blocks: int) -> Column:
     """The blocks that a pixel's 3-wide mean touches along an axis, with the number of mean positions in each."""
-    inside = f"3 - IF({p} % {r} = 0, 1, 0) - IF({p} % {r} = {r - 1}, 1, 0)"
-    each = [f"named_struct('b', CAST({p} div {r} AS INT), 'w', {inside})", f"named_struct('b', CAST({p} div {r} AS INT) - 1, 'w', IF({p} % {r} = 0 AND {p} > 0, 1, 0))", f"named_struct('b', CAST({p} div {r} AS INT) + 1, 'w', IF({p} % {r} = {r - 1} AND {p} + 1 < {blocks * r}, 1, 0))"]
-    return F.explode(F.expr(f"filter(array({', '.join(each)}), s -> s.w > 0)"))
+    block = f"CAST({p} div {r} AS INT)"
+    before, after = f"{p} % {r} = 0 AND {p} > 0", f"{p} % {r} = {r - 1} AND {p} + 1 < {blocks * r}"
+    own = f"named_struct('b', {block}, 'w', 3 - IF({p} % {r} = 0, 1, 0) - IF({p} % {r} = {r - 1}, 1, 0))"
+    last, following = f"named_struct('b', {block} - 1, 'w', 1)", f"named_struct('b', {block} + 1, 'w', 1)"
+    each = f"CASE WHEN {before} AND {after} THEN array({own}, {last}, {following}) WHEN {before} THEN array({own}, {last}) WHEN {after} THEN array({own}, {following}) ELSE array({own}) END"
+    return F.explode(F.expr(each))
 
 
 def pool(pixels: DataFrame, meta: RasterMeta, r: int, keys: list[str] | None = None) -> DataFrame:
@@ -111,11 +116,22 @@ def gaussian_blur(df: DataFrame, meta: RasterMeta, sigma: float, values: list[st
 
     def along(table: DataFrame, axis: str, other: str, length: int) -> DataFrame:
         c = axis
-        copies = f"filter(array({c}, IF({c} BETWEEN 1 AND {radius}, -{c}, NULL), IF({c} BETWEEN {length - 1 - radius} AND {length - 2}, {2 * (length - 1)} - {c}, NULL)), v -> v IS NOT NULL)"
+        low, high = f"{c} BETWEEN 1 AND {radius}", f"{c} BETWEEN {length - 1 - radius} AND {length - 2}"
+        left, right = f"-{c}", f"{2 * (length - 1)} - {c}"
+        copies = f"CASE WHEN {low} AND {high} THEN array({c}, {left}, {right}) WHEN {low} THEN array({c}, {left}) WHEN {high} THEN array({c}, {right}) ELSE array({c}) END"
         rest = [n for n in table.columns if n != axis]
         wide = table.select(*rest, F.explode(F.expr(copies)).alias(axis))
-        line = Window.partitionBy(*(keys or []), other).orderBy(axis).rowsBetween(-radius, radius)
-        mixed = {v: F.aggregate(F.zip_with(F.collect_list(v).over(line), taps, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t) for v in values}
+        line = Window.partitionBy(*(keys or []), other).orderBy(axis)
+
+        def mix(v: str) -> Column:
+            if radius > COMPILED_RADIUS:
+                return F.aggregate(F.zip_with(F.collect_list(v).over(line.rowsBetween(-radius, radius)), taps, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+            total = F.lit(0.0)
+            for d, w in zip(range(-radius, radius + 1), weights):
+                total = total + w * (F.lag(v, -d).over(line) if d < 0 else F.lead(v, d).over(line) if d else F.col(v))
+            return total
+
+        mixed = {v: mix(v) for v in values}
         return wide.withColumns(mixed).where(f"{axis} >= 0 AND {axis} < {length}").select(*table.columns)
 
     start = df.withColumns({v: F.col(v).cast("double") for v in values})

@@ -19,8 +19,9 @@ def nearest_resize(df: DataFrame, old: RasterMeta, new: RasterMeta, values: list
     """Cell (y, x) of the new grid takes floor(y h / H), floor(x w / W): each old cell generates the new ones that take it."""
 
     def side(c: str, small: int, big: int):
-        first, last = f"CAST(ceil({c} * {big} / CAST({small} AS DOUBLE)) AS INT)", f"CAST(ceil(({c} + 1) * {big} / CAST({small} AS DOUBLE)) AS INT) - 1"
-        return F.explode(F.expr(f"filter(IF({last} >= {first}, sequence({first}, {last}), array()), v -> v * {small} div {big} = {c})"))
+        reached = lambda i: f"CAST((CAST({i} AS BIGINT) * {big} + {small - 1}) div {small} AS INT)"  # noqa: E731  exact ceiling
+        first, last = reached(c), f"{reached(f'({c} + 1)')} - 1"
+        return F.explode(F.expr(f"IF({last} >= {first}, sequence({first}, {last}), array())"))
 
     rows = df.select(*(keys or []), side("y", old.height, new.height).alias("__y"), "x", *values)
     return rows.select(*(keys or []), F.col("__y").alias("y"), side("x", old.width, new.width).alias("x"), *values)
