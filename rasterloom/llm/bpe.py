@@ -140,7 +140,7 @@ def chunk_counts(df: DataFrame) -> DataFrame:
 
 
 def shared_chunks(df: DataFrame, tokenizer: str, most: int = SHARED_CHUNKS, most_bytes: int = SHARED_BYTES) -> dict[bytes, tuple]:
-    """The chunks that reuse saves most on, within bounds: each one's bytes with its ids and sure boundaries."""
+    """The chunks that reuse saves most on, within bounds: each one's bytes with its ids (an array) and sure boundaries."""
     best = chunk_counts(df).where("n > 1").orderBy(F.desc(F.expr("(n - 1) * size")), "hash", "size").limit(most).collect()
     wanted, total = {}, 0
     for row in best:
@@ -174,11 +174,12 @@ def shared_chunks(df: DataFrame, tokenizer: str, most: int = SHARED_CHUNKS, most
         for batch in batches:
             rows = [(c, *known) for c in batch.column(batch.schema.get_field_index("chunk")).to_pylist() if (known := learn(codec, c))]
             cols = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *[pa.array(c, pa.list_(pa.int32())) for c in cols[1:]]], names=["chunk", "ids", "byte", "token"])
+            packed = [np.array(ids, np.int32).tobytes() for ids in cols[1]]  # plain integers would take nine times as much in the driver
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(packed, pa.binary()), *[pa.array(c, pa.list_(pa.int32())) for c in cols[2:]]], names=["chunk", "ids", "byte", "token"])
 
     found = df.select("text").mapInArrow(run, "hash long, chunk binary").groupBy("hash").agg(F.first("chunk").alias("chunk")).select("chunk")
-    rows = found.mapInArrow(once, "chunk binary, ids array<int>, byte array<int>, token array<int>").collect()
-    return {bytes(r["chunk"]): (r["ids"], r["byte"], r["token"]) for r in rows}
+    rows = found.mapInArrow(once, "chunk binary, ids binary, byte array<int>, token array<int>").collect()
+    return {bytes(r["chunk"]): (np.frombuffer(bytes(r["ids"]), np.int32), r["byte"], r["token"]) for r in rows}
 
 
 def learn(codec: Codec, chunk: bytes) -> tuple[list[int], list[int], list[int]] | None:
@@ -212,10 +213,10 @@ def encode_with(codec: Codec, text: str, shared: dict[bytes, tuple]) -> list[int
                 if last + byte[k] <= done:
                     continue
                 window = codec.fast.encode_ordinary(data[done : last + byte[k + 1]].decode())
-                own = ids[token[k] : token[k + 1]]
+                own = ids[token[k] : token[k + 1]].tolist()
                 if own and window[-len(own) :] == own:
                     out += window
-                    out += ids[token[k + 1] : token[-1]]
+                    out += ids[token[k + 1] : token[-1]].tolist()
                     done = last + byte[-1]
                     break
         last = end

@@ -23,8 +23,8 @@ from .common import add_columns
 WORD = re.compile(r"[^\W\d_]+")
 #: Hashed weights: n-grams of 1 to NGRAM bytes, prefixes and suffixes of 1 to AFFIX bytes.
 BUCKETS, NGRAM, AFFIX = 1 << 16, 4, 4
-#: Words kept with their scores in a worker, and words that forward-backward takes at once (a longer text by itself).
-KEPT_WORDS, BATCH_WORDS = 300_000, 400_000
+#: Words kept with their scores in a worker, words that forward-backward takes at once (a longer text by itself), and words scored at once.
+KEPT_WORDS, BATCH_WORDS, SCORED_WORDS = 300_000, 400_000, 20_000
 UNKNOWN = "und"
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
@@ -77,8 +77,12 @@ class Model:
     first: np.ndarray | None = None
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        place, start = features(words, self.lexicon)
-        return np.add.reduceat(self.weights[place], start, 0) if words else np.zeros((0, len(self.langs)), np.float32)
+        """Each word's scores, so many words at once that their features stay small."""
+        out = [np.zeros((0, len(self.langs)), np.float32)]
+        for at in range(0, len(words), SCORED_WORDS):
+            place, start = features(words[at : at + SCORED_WORDS], self.lexicon)
+            out.append(np.add.reduceat(self.weights[place], start, 0))
+        return np.concatenate(out)
 
 
 def posteriors(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
