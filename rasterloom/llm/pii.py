@@ -22,7 +22,7 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 #: Kinds by precedence where matches overlap.
 EXPRESSIONS = {
-    "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
+    "email": re.compile(r"(?<![\w.%+-])\w[\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"),
     "card": re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\w|[.]\d)", re.A),
     "phone": re.compile(r"(?<![\w+])(?:\+1[ .-]?\(\d{3}\) ?|\+1[ .-]\d{3}[ .-]|\(\d{3}\) ?|\d{3}-)\d{3}[ .-]\d{4}(?![\w-])", re.A),
