@@ -17,22 +17,35 @@ PIECE_BYTES = 8 << 20
 BROADCAST_BYTES = 32 << 20
 
 
+def _qualified(spark: SparkSession, path: str):
+    """(file system, path with its scheme) of a path as Spark reads it."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return system, system.makeQualified(place)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder if "://" in folder or folder.startswith("file:") else "file://" + folder
+    return _qualified(spark, folder)[1].toString()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it is deleted when the application ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    """A fresh folder in the shared one; it is deleted when the application ends."""
+    system, place = _qualified(spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    system.deleteOnExit(place)
+    return place.toString()
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """The folder, made where its store has folders."""
+    system, place = _qualified(spark, path)
+    system.mkdirs(place)
+    return place.toString()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -83,9 +96,10 @@ def add_columns(
     return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
 
 
-def is_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the rows of a stored table come to at most ``limit`` bytes."""
-    return df.limit(limit // row_bytes + 1).count() * row_bytes <= limit
+def is_small(df: DataFrame, row_bytes: int) -> bool:
+    """Whether the rows of a stored table, at ``row_bytes`` each as a hash table has them, come to at most BROADCAST_BYTES."""
+    most = BROADCAST_BYTES // row_bytes
+    return df.limit(most + 1).count() <= most
 
 
 def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, stored, without
+from . import common
+from .common import stored, without
 
 KEY, MID, SRC, POS, CELL = "__shard_key", "__shard_mid", "__shard_src", "__shard_pos", "__shard_cell"
 #: monotonically_increasing_id() keeps the partition above this many bits.
@@ -98,7 +99,7 @@ def shuffle_into_shards(
     ends = F.expr("transform(sequence(1, size(take)), k -> aggregate(slice(take, 1, k), 0L, (a, v) -> a + v))")
     matrix = matrix.select(F.col("id").alias(SRC), ends.alias("__ends"))
     cell = F.expr(f"CAST(size(filter(__ends, e -> e <= {POS})) AS INT)")
-    small = sources * len(cells) * 8 <= BROADCAST_BYTES
+    small = sources * len(cells) * 8 <= common.BROADCAST_BYTES
     sent = placed.join(F.broadcast(matrix) if small else matrix, SRC).withColumn(CELL, cell)
     again = Window.partitionBy(CELL).orderBy(F.xxhash64(F.lit(seed + 3), MID), MID)
     shard, block = F.expr(f"{CELL} div {blocks}"), F.expr(f"{CELL} % {blocks}")

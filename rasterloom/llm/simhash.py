@@ -153,5 +153,5 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     joined = stored(components(linked(each.select("fp"), each.count(), radius)), "components")
     named = joined.join(each, joined.node == each.fp).groupBy("root").agg(F.min("least").alias("least"))
     named = stored(joined.join(named, "root").select(F.col("node").alias("fp"), F.col("least").alias("all_least")), "named")
-    ids = stored(lookup(each, named, ["fp"], "left", 24).select(F.col("fp").alias("fingerprint"), F.coalesce("all_least", "least").alias("component_id")), "component-ids")
-    return lookup(docs, ids, ["fingerprint"], "left", 24).select(F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = stored(lookup(each, named, ["fp"], "left", 80).select(F.col("fp").alias("fingerprint"), F.coalesce("all_least", "least").alias("component_id")), "component-ids")
+    return lookup(docs, ids, ["fingerprint"], "left", 80).select(F.col("doc_id").alias(key), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

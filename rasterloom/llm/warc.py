@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, new_folder, stored
+from .common import lookup, make_folder, new_folder, stored
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -121,12 +121,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
     firsts = stored(first_pages(rows, least), "first-pages")
     html = F.coalesce("html", F.lit(""))
-    rows = lookup(rows.withColumn("payload_digest", F.when(F.octet_length(html) >= least, F.sha2(html.cast("binary"), 256))), firsts, ["payload_digest"], "left", 96)
+    rows = lookup(rows.withColumn("payload_digest", F.when(F.octet_length(html) >= least, F.sha2(html.cast("binary"), 256))), firsts, ["payload_digest"], "left", 160)
     refers = F.when(F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page")), F.col("first_page"))
     sent = rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), refers.alias("refers_to"))
-    # pyarrow makes no folders in some stores; on a file system the parent must exist
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+    folder = make_folder(spark, folder)  # pyarrow makes none, and a file system needs it
     return stored(sent.mapInArrow(_writer(folder, level), INDEX), "warc-index")
 
 

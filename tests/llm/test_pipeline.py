@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rasterloom.llm import decontam, pii, queries
@@ -74,3 +75,13 @@ def test_run_equals_the_stages(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert collections.Counter((r["doc_id"], r["ids_sha256"]) for r in got.collect()) == collections.Counter((r["doc_id"], r["ids_sha256"]) for r in stages["tokens"][1])
     assert not set(corpus_pipeline.COLUMNS) - {"text", "n_chars"} - set(got.columns)
+
+
+def test_repeated_and_missing_ids(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long), (1, long), (2, long), (None, long), (None, "quite another text without an id"), (None, "quite another text without an id"), (5, "a third text that stands alone"), (5, "a third text that stands alone"), (6, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("fingerprint", F.lit(0))
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, "quite another text without an id"), (1, long), (5, "a third text that stands alone"), (6, "")]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() <= len(rows) and stage(spark, docs.limit(0), SF).count() == 0
