@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import bpe, decontam, langid, pii, simhash
-from rasterloom.llm.common import lookup, new_folder, stored
+from rasterloom.llm import bpe, decontam, langid, nearcopies, pii
+from rasterloom.llm.common import new_folder
 from rasterloom.llm.queries import TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,24 +25,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id.
+    """One document of each group of near copies (5-word shingles, Jaccard similarity 0.8), that with the smallest doc_id.
 
-    Of rows that share a doc_id one stays. Rows without one go if a row with one is linked to them; else one row of each
-    fingerprint stays. Both are looked for first, by id alone, and cost nothing where there are none.
+    Rows without an id stay only where no row of their group has one, one of each group.
     """
-    docs = docs.select(*COLUMNS)
-    ids = stored(simhash.near_duplicates(docs), "near-duplicates")
-    gone = stored(ids.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = lookup(docs, gone, ["doc_id"], "left_anti", 48)
-    twice = stored(ids.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    unnamed = ids.where("doc_id IS NULL")
-    if twice.isEmpty() and unnamed.isEmpty():
-        return kept
-    named = kept.where("doc_id IS NOT NULL")
-    once = lookup(named, twice, ["doc_id"], "left_anti", 48).union(lookup(named, twice, ["doc_id"], "left_semi", 48).dropDuplicates(["doc_id"]))
-    alone = stored(unnamed.where("component_id IS NULL").select(F.conv("fingerprint", 16, -10).cast("long").alias("fingerprint")).distinct(), "unnamed")
-    prints = simhash.fingerprints(docs.where("doc_id IS NULL"))
-    return once.union(lookup(prints, alone, ["fingerprint"], "left_semi", 48).dropDuplicates(["fingerprint"]).select(*COLUMNS))
+    return nearcopies.one_of_each(docs.select(*COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
