@@ -1,11 +1,12 @@
-"""Benchmark decontamination by edit distance: CGK embedding, bit-sampling LSH, exact verification.
+"""Benchmark decontamination by edit distance: exact pieces, CGK embedding with bit-sampling LSH, exact verification.
 
 Texts and items are sequences of words. An item leaks into a text if some stretch of it is at most a fifth of the item's
 words away in edit distance. Windows as long as the items of a length class are embedded by a random walk that copies a
 word at each step and moves on or not by a random bit of that word, so that windows a few edits apart agree at most steps.
-A repetition samples a few steps; windows and items that agree there are candidates. There are as many repetitions as the
-target recall needs, and candidates are verified by exact edit distance. Windows with too few of the items' words to be
-within the distance are passed over first; that loses none.
+A repetition samples a few steps; windows and items that agree there are candidates. The walks alone find few of the long
+leaks with many edits, so an item is also cut into one piece more than the edits it may have, of which one at least must
+occur unedited: each place of a piece is a candidate, and no leak is lost. Candidates are verified by exact edit distance.
+Windows with too few of the items' words to be within the distance are passed over before the walks; that loses none.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .common import add_columns
 
 #: Share of an item's words that edits may touch; shorter items carry too little to tell a leak and are not searched.
 EDITS, LEAST_WORDS = 0.2, 8
-#: Sampled steps of a repetition; the share of steps in which a true pair may differ for the target recall to hold.
+#: Sampled steps of a repetition; the share of steps in which a true pair may differ for the walks' target recall to hold.
 SAMPLES, DIFFER, RECALL = 4, 0.4, 0.95
 #: Windows of a class are as long as its shortest item; its longest is longer by this factor at most.
 CLASS_RATIO = 1.25
@@ -108,6 +109,22 @@ class Items:
                 walks.append((bits, sampled, [np.unique(level) for level in keys], dict(table)))
             self.classes.append((width, width - int(EDITS * longest), walks))
         self.masks: dict[int, dict[int, int]] = {}
+        tables: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for m, k in sized:
+            cuts = int(EDITS * m) + 1
+            for start in (p * m // cuts for p in range(cuts)):
+                key = self.runs(self.words[k][start : start + m // cuts], np.zeros(1, np.int64), m // cuts)
+                tables[m // cuts][int(key[0])].append((k, start))
+        #: By length in words: the sorted keys of pieces, and for each its items and its places in them.
+        self.pieces = {size: (np.array(sorted(table), np.uint64), dict(table)) for size, table in tables.items()}
+
+    @staticmethod
+    def runs(symbols: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """A key of the ``size`` words from each place."""
+        key = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            key = key * np.uint64(0x100000001B3) + symbols[at + k].astype(np.uint64) + np.uint64(1)
+        return key
 
     def walk(self, symbols: np.ndarray, at: np.ndarray, end: np.ndarray, bits: np.ndarray, sampled: list[int], levels: list[np.ndarray] | None = None):
         """Embed the windows from ``at`` to ``end``, and hash the sampled steps' words into a key, step by step.
@@ -177,6 +194,14 @@ class Items:
             for bits, sampled, levels, table in walks:
                 key, live = self.walk(symbols, at, ends, bits, sampled, levels)
                 pairs.update((int(w), k) for h, w in zip(key.tolist(), at[live].tolist()) for k in table[h])
+        for size, (own, table) in self.pieces.items():
+            at = np.flatnonzero(count[size:] - count[:-size] == size)  # whole runs of the items' words
+            keys = self.runs(symbols, at, size)
+            hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys)
+            of = np.searchsorted(first, at[hit], "right") - 1
+            for w, key, text in zip(at[hit].tolist(), keys[hit].tolist(), of.tolist()):
+                if w + size <= first[text + 1]:
+                    pairs.update((max(int(starts[text]), w - start), k) for k, start in table[key])
         leaks: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         covered: dict[tuple[int, int], int] = {}
         for at, k in sorted(pairs):
