@@ -19,11 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    placed = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), 24)
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")
-    rows = docs.select("doc_id", size, F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    placed = sharding.shuffle_into_shards(rows, 24)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.col("text").cast("binary")).alias("text_crc32")
+    return placed.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
