@@ -1,12 +1,14 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of LEAST or more, each link checked exactly.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of LEAST or more, by SimHash and an exact check.
 
-Candidates share a band of MinHash values. Copies with equal sets are one node. All pairs of a band's nodes are compared
-where the band is; the nodes of a large one are dealt into blocks, each pair of which is compared by itself. Bands with
-the same nodes are compared once. What is given out are links that join what the pairs join, never all pairs.
+The SimHash of a set of shingles has BITS bits here, which leave sets that similar at most RADIUS bits apart. Candidates
+are the groups that BK-tree searches within that radius join, in shards of sampled bits. All pairs of a group are then
+compared by their shingles; the members of a large one are dealt into blocks, each pair of which is compared by itself.
+Copies with equal sets are one node throughout. What is given out are links that join what the pairs join, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,40 +17,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import add_columns, lookup, stored
 from .components import components
 
-SEED, WORDS, LEAST = 42, 5, 0.8
-#: A pair at similarity 0.8 shares a band of 5 values with probability 0.33, and one of 16 bands with 0.998.
-BANDS, ROWS = 16, 5
-#: Nodes of a block; a band's nodes are compared at once where they are no more.
+SEED, WORDS, LEAST, BITS, RECALL = 42, 5, 0.8, 128, 0.97
+#: Probability that a bit of two sets at the least similarity differs: the angle between them over a half turn.
+SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
+#: Bits apart that all but a thousandth of such sets are within.
+RADIUS = next(r for r in range(BITS) if sum(math.comb(BITS, d) * SHARE**d * (1 - SHARE) ** (BITS - d) for d in range(r + 1)) >= 0.999)
+#: Nodes of a block; a group's nodes are compared at once where they are no more.
 BLOCK = 1024
-FIELDS = [T.StructField("digest", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-_luck = np.random.default_rng(SEED)
-_XORS = _luck.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
-_ODDS = _luck.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+FIELDS = [T.StructField("digest", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType())]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted distinct XXH64 hashes of a text's lower-case word shingles; a shorter text is one, a blank one has none."""
-    import xxhash
+    return np.unique(simhash.shingle_hashes([w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()], words))
 
-    parts = [w.encode("utf-8", "surrogatepass") for w in (text or "").lower().split()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(parts[k : k + words]), SEED) for k in range(max(1, len(parts) - words + 1))] if parts else [], np.uint64))
 
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: the mixed least values of its permutations. No shingles: no keys."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1 << 11):
-        np.minimum(least, ((hashes[at : at + (1 << 11)] ^ _XORS) * _ODDS).min(1), out=least)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + column
-    return key.view(np.int64)
+def wide_print(hashes: np.ndarray) -> tuple[int, int]:
+    """The SimHash of a set in two words, the second over the hashes mixed once more."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return simhash.majority(hashes), simhash.majority(mixed ^ (mixed >> np.uint64(32)))
 
 
 def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -75,7 +67,7 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def featured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, ``digest`` (of the set of shingles) and ``bands``."""
+    """The ``keep`` columns, ``digest`` of the set of shingles and its SimHash, ``f0`` and ``f1`` (null where it is empty)."""
 
     def work():
         import xxhash
@@ -83,7 +75,9 @@ def featured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
             sets = [shingles(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            return [pa.array(digests), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            prints = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            blank = np.array([not len(s) for s in sets], bool)
+            return [pa.array(digests), *[pa.array(np.ascontiguousarray(prints[:, k]), mask=blank) for k in (0, 1)]]
 
         return each
 
@@ -91,7 +85,7 @@ def featured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of each run of rows with the same band and blocks."""
+    """The links of each run of rows with the same group and blocks."""
     group, nodes, sets = None, [], []
 
     def links() -> pa.RecordBatch:
@@ -99,7 +93,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([nodes[p[e]] for p in found], pa.int64()) for e in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("band", "one", "two", "digest", "text")]
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("root", "one", "two", "digest", "text")]
         for k in range(batch.num_rows):
             *now, node, text = (c[k].as_py() for c in columns)
             if now != group:
@@ -110,6 +104,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links()
 
 
+def candidate_groups(sets: DataFrame) -> DataFrame:
+    """(node, root): the groups of more than one that fingerprints within the radius join, from (digest, f0, f1) by set."""
+    prints = stored(sets.where("f0 IS NOT NULL").groupBy("f0", "f1").agg(F.min("digest").alias("node"), F.count(F.lit(1)).alias("n")), "prints")
+    alike = sets.join(prints.where("n > 1"), ["f0", "f1"]).where("digest <> node").select(F.col("digest").alias("a"), F.col("node").alias("b"))
+    dealing = simhash.sampled_masks(prints.count(), BITS, SHARE, RADIUS, RECALL)
+    return stored(components(simhash.linked(prints, dealing, RADIUS).union(alike)), "candidate-groups")
+
+
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group of near copies, that with the smallest key (a null key only where all are null).
 
@@ -117,17 +119,15 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """
     rows = stored(featured(df, text, df.columns).withColumn("__row", F.monotonically_increasing_id()), "featured")
     first = F.min(F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col("__row").alias("row")))
-    each = stored(rows.groupBy("digest").agg(first.alias("first"), F.first("bands").alias("bands")), "distinct-sets")
-    keys = each.select("digest", F.explode("bands").alias("band"))
-    alike = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.expr("bit_xor(xxhash64(digest))").alias("x"))
-    shared = stored(alike.where("n > 1").groupBy("n", "lo", "hi", "x").agg(F.min("band").alias("band")).select("band", "n"), "shared-bands")
-    members = stored(lookup(keys, shared, ["band"], "inner", 80).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "band-members")
-    wanted = stored(each.join(members.select("digest").distinct(), "digest").select(F.col("first.row").alias("__row")), "candidates")
-    texts = stored(lookup(rows, wanted, ["__row"], "left_semi", 48).select("digest", F.col(text).alias("text")), "candidate-texts")
+    each = stored(rows.groupBy("digest").agg(first.alias("first"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "distinct-sets")
+    groups = candidate_groups(each.select("digest", "f0", "f1"))
+    sizes = stored(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "group-sizes")
+    members = stored(lookup(groups, sizes, ["root"], "inner", 48).join(each.select(F.col("digest").alias("node"), F.col("first.row").alias("__row")), "node"), "candidates")
+    texts = lookup(rows.select("__row", F.col(text).alias("text")), members.select("__row", F.col("node").alias("digest"), "root", "blocks"), ["__row"], "inner", 64)
     own, other = F.expr("pmod(xxhash64(digest), blocks)"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = members.select("band", "digest", own.alias("own"), other.alias("other")).select("band", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "digest")
-    dealt = dealt.join(texts.hint("merge"), "digest").repartition("band", "one", "two").sortWithinPartitions("band", "one", "two", "digest")
-    links = dealt.select("band", "one", "two", "digest", "text").mapInArrow(_linked, "a long, b long")
+    dealt = texts.select("root", "digest", "text", own.alias("own"), other.alias("other")).select("root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "digest", "text")
+    dealt = dealt.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two", "digest")
+    links = dealt.mapInArrow(_linked, "a long, b long")
     groups = stored(components(links), "near-copy-groups").withColumnRenamed("node", "digest")
     chosen = each.join(groups, "digest", "left").groupBy(F.coalesce("root", "digest")).agg(F.min("first").alias("first"))
     chosen = stored(chosen.select(F.col("first.row").alias("__row")), "chosen")

@@ -448,6 +448,41 @@ def test_chains_of_links_and_trees_of_any_size():
             assert any((x ^ y) & (m % (1 << 64)) == 0 for m in simhash.masks(n, radius))
 
 
+def test_the_querys_trees_branch_and_shards_split(spark, monkeypatch):
+    """At sf0.1 the shards of op9 hold trees with inner nodes; split shards and shuffled trees give the same components."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    prints = [r["fingerprint"] for r in simhash.fingerprints(docs, keep=[]).distinct().collect()]
+    nodes = spark.createDataFrame([(p, p) for p in prints], "node long, f0 long")
+    dealing = [(m,) for m in simhash.masks(len(prints), simhash.RADIUS)]
+    shards = simhash.shard_trees(nodes, dealing).collect()
+    assert sum(r["n"] for r in shards) == len(dealing) * len(prints) and len(shards) > len(dealing)
+    inner = []
+    for r in shards:
+        flat = np.frombuffer(bytes(r["tree"]), np.int64).reshape(-1, 3)
+        up, edge = flat[:, 2] >> 16, flat[:, 2] & 0xFFFF
+        assert all((int(flat[k, 1] ^ flat[up[k], 1]) % (1 << 64)).bit_count() == edge[k] for k in range(len(flat)))
+        inner.append(len(set(up[1:].tolist())))
+    assert sum(n > 4 for n in inner) > 0.9 * len(inner)
+    want = {r["node"]: r["root"] for r in components.components(simhash.linked(nodes, dealing, 4)).collect()}
+    assert want
+    monkeypatch.setattr(simhash, "TREE", 40)
+    monkeypatch.setattr("rasterloom.llm.common.BROADCAST_BYTES", 0)
+    assert {r["node"]: r["root"] for r in components.components(simhash.linked(nodes, dealing, 4)).collect()} == want
+
+
+def test_wide_fingerprints_find_their_pairs():
+    """Pairs as far apart as sets of the least similarity share one of the sampled masks as often as stated."""
+    from rasterloom.llm import nearcopies
+
+    luck = np.random.default_rng(3)
+    dealing = simhash.sampled_masks(200_000, nearcopies.BITS, nearcopies.SHARE, nearcopies.RADIUS, nearcopies.RECALL)
+    flips = luck.random((4000, nearcopies.BITS)) < nearcopies.SHARE
+    flips = flips[flips.sum(1) <= nearcopies.RADIUS]
+    chosen = [[b for b in range(128) if m[b // 64] >> b % 64 & 1] for m in dealing]
+    assert np.mean([any(not f[c].any() for c in chosen) for f in flips]) >= 0.95
+    assert nearcopies.RADIUS <= 34
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     luck = random.Random(6)
     path = list(range(100, 160))
