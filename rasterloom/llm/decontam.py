@@ -1,18 +1,20 @@
-"""Benchmark decontamination by edit distance: exact pieces, CGK embedding with bit-sampling LSH, exact verification.
+"""Benchmark decontamination by edit distance: CGK embedding with bit-sampling LSH, exact verification.
 
 Texts and items are sequences of words. An item leaks into a text if some stretch of it is at most a fifth of the item's
-words away in edit distance. Windows as long as the items of a length class are embedded by a random walk that copies a
-word at each step and moves on or not by a random bit of that word, so that windows a few edits apart agree at most steps.
-A repetition samples a few steps; windows and items that agree there are candidates. The walks alone find few of the long
-leaks with many edits, so an item is also cut into one piece more than the edits it may have, of which one at least must
-occur unedited: each place of a piece is a candidate, and no leak is lost. Candidates are verified by exact edit distance.
-Windows with too few of the items' words to be within the distance are passed over before the walks; that loses none.
+words away in edit distance. Windows of a text are embedded by a random walk that copies a word at each step and moves on
+or not by a random bit of that word, so that windows a few edits apart agree at most steps. Over a long window with many
+edits two walks drift apart and seldom meet again; the embedding of an item-sized window therefore restarts its walk every
+STRIDE words, and a repetition samples steps of one restart: some restart of a leak falls on a stretch with few edits. As
+restarts are the same for every window that holds them, each place of a text is walked once a repetition, whatever the
+items' lengths. Windows and items that agree at the sampled steps are candidates, verified by exact edit distance. Items
+too short to be walked are found by exact pieces: one more than the edits they may have, of which one occurs unedited.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,13 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Share of an item's words that edits may touch; shorter items carry too little to tell a leak and are not searched.
-EDITS, LEAST_WORDS = 0.2, 8
-#: Sampled steps of a repetition; the share of steps in which a true pair may differ for the walks' target recall to hold.
-SAMPLES, DIFFER, RECALL = 4, 0.4, 0.95
-#: Windows of a class are as long as its shortest item; its longest is longer by this factor at most.
-CLASS_RATIO = 1.25
+#: Share of an item's words that edits may touch; items of fewer words than WALK_WORDS are searched by exact pieces.
+EDITS, WALK_WORDS = 0.2, 8
+#: A walk takes STEPS steps from its start, of which a repetition samples SAMPLES; items start one at every STRIDE words.
+STEPS, SAMPLES, STRIDE = 10, 6, 2
+#: Repetitions by the most words that an item has. By measurement (tests/llm/test_decontam_recall.py) they find at least
+#: RECALL of the leaks at exactly the radius, of each length and each kind of edit.
+RECALL, REPEATS = 0.95, ((11, 24), (19, 12), (math.inf, 6))
 #: Items sent to the workers at once; more are searched block by block.
 BLOCK_ITEMS = 10_000
 #: Bytes of text taken at once (a longer text by itself).
@@ -70,10 +73,14 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes * np.uint64(0xD6E8FEB86659FD93), first
 
 
+def repetitions(words: int) -> int:
+    return next(n for most, n in REPEATS if words <= most)
+
+
 class Items:
     """A block of benchmark items, ready to be searched for."""
 
-    def __init__(self, items: list[tuple[int, str]], recall: float = RECALL, seed: int = 5):
+    def __init__(self, items: list[tuple[int, str]], repeats: int | None = None, seed: int = 5):
         hashes, first = words_of([text for _, text in items])
         self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
         n = len(self.vocabulary)
@@ -82,40 +89,34 @@ class Items:
         self.maybe[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
         self.words = [symbols[a:b].astype(np.int32) for a, b in zip(first, first[1:])]
         self.ids = [i for i, _ in items]
-        self.repeats = math.ceil(math.log(1 - recall) / math.log(1 - (1 - DIFFER) ** SAMPLES))
-        luck = np.random.default_rng(seed)
-        sized = sorted((len(w), k) for k, w in enumerate(self.words) if len(w) >= LEAST_WORDS)
-        # each word's random bit for each step of a repetition's walk, 64 steps a number
-        numbers = 1 + 3 * max((m for m, _ in sized), default=0) // 2 // 64
-        self.bits = [luck.integers(0, 1 << 64, (numbers, n + 2), dtype=np.uint64) for _ in range(self.repeats)]
-        for bits in self.bits:
-            bits[:, self.past] = 0
-        self.classes = []
-        taken = 0
-        while taken < len(sized):
-            width = sized[taken][0]
-            members = [k for m, k in sized[taken:] if m <= width * CLASS_RATIO]
-            longest = max(len(self.words[k]) for k in members)
-            taken += len(members)
-            walks = []
-            for bits in self.bits:
-                sampled = np.sort(luck.choice(3 * width // 2, SAMPLES, replace=False)).tolist()  # later steps lie past the end of quick walks
-                rows = np.concatenate([self.words[k][:width] for k in members])
-                at = np.arange(len(members), dtype=np.int32) * width
-                keys = self.walk(rows, at, at + width, bits, sampled)
-                table = defaultdict(list)
-                for key, k in zip(keys[-1].tolist(), members):
-                    table[key].append(k)
-                walks.append((bits, sampled, [np.unique(level) for level in keys], dict(table)))
-            self.classes.append((width, width - int(EDITS * longest), walks))
         self.masks: dict[int, dict[int, int]] = {}
+        self.held: dict[int, np.ndarray] = {}
+        luck = np.random.default_rng(seed)
+        walked = [k for k, w in enumerate(self.words) if len(w) >= WALK_WORDS]
+        many = {k: repeats or repetitions(len(self.words[k])) for k in walked}
+        #: By repetition: each word's random bits, the sampled steps, the items' keys after each, and by whole key the items and places.
+        self.walks = []
+        for r in range(max(many.values(), default=0)):
+            bits = luck.integers(0, 1 << 64, n + 2, dtype=np.uint64)
+            sampled = np.sort(luck.choice(STEPS, SAMPLES, replace=False)).tolist()
+            own = [(k, at) for k in walked if r < many[k] for at in range(0, len(self.words[k]) - SAMPLES + 1, STRIDE)]
+            rows = np.concatenate([np.append(self.words[k], np.full(STEPS, self.past, np.int32)) for k in walked])
+            base = dict(zip(walked, np.cumsum([0, *[len(self.words[k]) + STEPS for k in walked]]).tolist()))
+            keys = self.walk(rows, np.array([base[k] + at for k, at in own], np.int64), bits, sampled)
+            table = defaultdict(list)
+            for key, place in zip(keys[-1].tolist(), own):
+                table[key].append(place)
+            first_words = np.zeros(n + 2, bool)
+            first_words[rows[keys[0]]] = True
+            self.walks.append((bits, sampled, first_words, [np.unique(level) for level in keys[1:]], dict(table)))
         tables: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for m, k in sized:
-            cuts = int(EDITS * m) + 1
-            for start in (p * m // cuts for p in range(cuts)):
-                key = self.runs(self.words[k][start : start + m // cuts], np.zeros(1, np.int64), m // cuts)
-                tables[m // cuts][int(key[0])].append((k, start))
-        #: By length in words: the sorted keys of pieces, and for each its items and its places in them.
+        for k, w in enumerate(self.words):
+            if 0 < len(w) < WALK_WORDS:
+                cuts = int(EDITS * len(w)) + 1
+                size = len(w) // cuts
+                for start in (p * len(w) // cuts for p in range(cuts)):
+                    tables[size][int(self.runs(w[start : start + size], np.zeros(1, np.int64), size)[0])].append((k, start))
+        #: Of short items, by length in words: the sorted keys of pieces, and for each its items and its places in them.
         self.pieces = {size: (np.array(sorted(table), np.uint64), dict(table)) for size, table in tables.items()}
 
     @staticmethod
@@ -126,28 +127,40 @@ class Items:
             key = key * np.uint64(0x100000001B3) + symbols[at + k].astype(np.uint64) + np.uint64(1)
         return key
 
-    def walk(self, symbols: np.ndarray, at: np.ndarray, end: np.ndarray, bits: np.ndarray, sampled: list[int], levels: list[np.ndarray] | None = None):
-        """Embed the windows from ``at`` to ``end``, and hash the sampled steps' words into a key, step by step.
+    def walk(self, symbols: np.ndarray, at: np.ndarray, bits: np.ndarray, sampled: list[int], first: np.ndarray | None = None, levels: list[np.ndarray] | None = None):
+        """Walk from each place ``at``, and hash the sampled steps' words into a key, step by step.
 
-        Without ``levels``: the keys after each sampled step. With the items' own keys as ``levels``, a window is dropped
-        as soon as its key so far is no item's: the final keys, and the windows that are left.
+        Without ``levels``: the places of the first sampled step and the keys after each. With the items' own first words
+        and keys, a walk is dropped as soon as its key so far is no item's: the final keys, and the walks that are left.
         """
         place, key, live, seen = at.copy(), np.zeros(len(at), np.uint64), np.arange(len(at)), []
         for step in range(sampled[-1] + 1):
-            out = symbols[np.minimum(place, len(symbols) - 1)]
-            if (place >= end).any():
-                out = np.where(place < end, out, np.int32(self.past))
+            out = symbols[place]
             if step in sampled:
+                n = sampled.index(step)
+                if levels is None:
+                    seen += [place.copy()] if n == 0 else []
+                elif n == 0:
+                    keep = np.flatnonzero(first[out])
+                    place, live, key, out = place[keep], live[keep], key[keep], out[keep]
                 key = key * np.uint64(0x100000001B3) + out.astype(np.uint64) + np.uint64(1)
                 if levels is None:
                     seen.append(key)
                 else:
-                    own = levels[sampled.index(step)]
+                    own = levels[n]
                     keep = np.flatnonzero(own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
-                    place, key, live, end, out = place[keep], key[keep], live[keep], end[keep], out[keep]
-            place += (bits[step >> 6][out] >> np.uint64(step & 63)).astype(np.int32) & 1
+                    place, key, live, out = place[keep], key[keep], live[keep], out[keep]
+            place += (bits[out] >> np.uint64(step)).astype(np.int64) & 1
         return seen if levels is None else (key, live)
 
+    def has(self, k: int) -> np.ndarray:
+        """Whether each symbol is a word of item ``k``."""
+        if k not in self.held:
+            held = np.zeros(self.past + 1, bool)
+            held[self.words[k]] = True
+            self.held = {k: held} if len(self.held) > 4096 else self.held | {k: held}
+        return self.held[k]
+
     def distance(self, k: int, region: np.ndarray) -> tuple[int, int]:
         """(edits, end) of the stretch of ``region`` nearest to item ``k``, by bit-parallel dynamic programming."""
         word = self.words[k]
@@ -180,49 +193,57 @@ class Items:
         place = np.minimum(np.searchsorted(self.vocabulary, hashes[known]), max(0, len(self.vocabulary) - 1))
         found = self.vocabulary[place] == hashes[known] if len(self.vocabulary) else np.zeros(0, bool)
         symbols[known[found]] = place[found]
+        starts, text_of = first[:-1], lambda at: (np.searchsorted(first, at, "right") - 1).tolist()
+        pairs: set[tuple[int, int, int]] = set()  # (where the item would begin, item, text)
+        padded = np.append(symbols, np.full(STEPS, self.past, np.int32))
+        at = np.flatnonzero(symbols != self.none)
+        for bits, sampled, words, levels, table in self.walks:
+            keys, live = self.walk(padded, at, bits, sampled, words, levels)
+            for w, key, text in zip(at[live].tolist(), keys.tolist(), text_of(at[live])):
+                pairs.update((w - place, k, text) for k, place in table[key])
         count = np.append(0, np.cumsum(symbols != self.none))
-        starts, sizes = first[:-1], np.diff(first)
-        left = np.repeat(first[1:], sizes) - np.arange(len(symbols))  # words to the text's end
-        pairs: set[tuple[int, int]] = set()
-        for width, least, walks in self.classes:
-            reach = np.minimum(width, left)
-            at = np.flatnonzero(count[np.arange(len(symbols)) + reach] - count[:-1] >= max(1, least))
-            if not len(at):
-                continue
-            at = at.astype(np.int32)
-            ends = at + reach[at].astype(np.int32)
-            for bits, sampled, levels, table in walks:
-                key, live = self.walk(symbols, at, ends, bits, sampled, levels)
-                pairs.update((int(w), k) for h, w in zip(key.tolist(), at[live].tolist()) for k in table[h])
         for size, (own, table) in self.pieces.items():
             at = np.flatnonzero(count[size:] - count[:-size] == size)  # whole runs of the items' words
             keys = self.runs(symbols, at, size)
             hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys)
-            of = np.searchsorted(first, at[hit], "right") - 1
-            for w, key, text in zip(at[hit].tolist(), keys[hit].tolist(), of.tolist()):
-                if w + size <= first[text + 1]:
-                    pairs.update((max(int(starts[text]), w - start), k) for k, start in table[key])
+            for w, key, text in zip(at[hit].tolist(), keys[hit].tolist(), text_of(at[hit])):
+                pairs.update((w - place, k, text) for k, place in table[key])
+        regions: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for begin, k, text in sorted((begin, k, text) for begin, k, text in pairs):
+            regions[text, k].append(begin)
         leaks: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        covered: dict[tuple[int, int], int] = {}
-        for at, k in sorted(pairs):
-            text = int(np.searchsorted(first, at, "right")) - 1
+        for (text, k), begins in regions.items():
             m = len(self.words[k])
-            slack = int(EDITS * m) + 1
-            a, b = max(starts[text], at - m // 4 - slack), min(first[text + 1], at + m + m // 4 + 2 * slack)
-            if covered.get((text, k), -1) >= at + m // 4:  # the region seen before reaches far enough past this window
-                continue
-            covered[text, k] = at + m // 4
-            edits, end = self.distance(k, symbols[a:b])
-            if edits <= int(EDITS * m) and edits < leaks[text].get(k, (m + 1, 0))[0]:
-                leaks[text][k] = (edits, int(a + end - starts[text]))
+            most = int(EDITS * m)
+            for a, b in merged(begins, most, m + 2 * most):
+                a, b = max(int(starts[text]), a), min(int(first[text + 1]), b)
+                if np.count_nonzero(self.has(k)[symbols[a:b]]) < m - most:
+                    continue
+                edits, end = self.distance(k, symbols[a:b])
+                if edits <= most and edits < leaks[text].get(k, (m + 1, 0))[0]:
+                    leaks[text][k] = (edits, int(a + end - starts[text]))
         return [[{"item_id": self.ids[k], "edits": e, "item_words": len(self.words[k]), "end_word": end} for k, (e, end) in sorted(of.items())] for of in leaks]
 
 
-def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, recall: float = RECALL) -> DataFrame:
+def merged(begins: list[int], before: int, length: int) -> Iterator[tuple[int, int]]:
+    """The regions from ``before`` ahead of each of the sorted ``begins``, ``length`` long, those that touch as one."""
+    a = b = None
+    for begin in begins:
+        if b is not None and begin - before <= b:
+            b = begin - before + length
+            continue
+        if b is not None:
+            yield a, b
+        a, b = begin - before, begin - before + length
+    if b is not None:
+        yield a, b
+
+
+def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all) and ``leaks``: an array of (item_id, edits, item_words, end_word) by benchmark order.
 
-    ``benchmark`` has item_id and text; rows with a null text, and items of under LEAST_WORDS words, are not searched.
-    Items that share an id are searched each. Null and empty texts have no leaks. Whole texts of any length; rows pass one
+    ``benchmark`` has item_id and text; rows with a null text or without a word are not searched. An item may differ in a
+    fifth of its words, rounded down: none up to four words. Items that share an id are searched each. Null and empty texts have no leaks. Whole texts of any length; rows pass one
     by one, repeated rows too. The benchmark is sent in blocks of BLOCK_ITEMS items, each searched in one more pass.
     """
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
@@ -234,7 +255,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[st
         block = sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
         def work(block=block):
-            known = Items(block, recall) if block else None
+            known = Items(block) if block else None
 
             def each(batch: pa.RecordBatch) -> list[pa.Array]:
                 found, texts, size = [], [], 0
