@@ -61,15 +61,35 @@ def test_the_shuffle_is_uniform(spark):
     assert chi < 60  # 25 degrees of freedom
 
 
-def test_hypergeometric_follows_its_law(spark):
-    draws = spark.range(4000).select(F.expr(sharding.hypergeometric("30L", "12L", "10L", "(id + 0.5D) / 4000")).alias("x")).collect()
-    from math import comb
-
-    counts = collections.Counter(r["x"] for r in draws)
-    for k in range(11):
-        assert abs(counts[k] / 4000 - comb(12, k) * comb(18, 10 - k) / comb(30, 10)) < 1e-3
-    edge = spark.sql(f"SELECT {sharding.hypergeometric('5L', '5L', '3L', '0.3D')} a, {sharding.hypergeometric('0L', '0L', '0L', '0.3D')} b, {sharding.hypergeometric('5L', '0L', '5L', '0.9D')} c").first()
-    assert tuple(edge) == (3, 0, 0)
+@pytest.mark.parametrize("pool, good, draws", [(30, 12, 10), (400, 150, 120), (6000, 2000, 500), (6000, 5900, 3000), (10**9, 5 * 10**8, 800)])
+def test_hypergeometric_follows_its_law(spark, pool, good, draws):
+    """By inversion where the law is narrow and by ratio of uniforms where it is wide."""
+    n = 20_000
+    found = spark.range(n).select(F.expr(sharding.hypergeometric(f"{pool}L", f"{good}L", f"{draws}L", "5L", "id")).alias("x")).groupBy("x").count().collect()
+    counts = {r["x"]: r["count"] for r in found}
+    from math import lgamma
+
+    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    law = {k: np.exp(choose(good, k) + choose(pool - good, draws - k) - choose(pool, draws)) for k in range(max(0, draws - pool + good), min(draws, good) + 1)}
+    assert set(counts) <= set(law)
+    often = [k for k in law if law[k] * n >= 20]
+    chi = sum((counts.get(k, 0) - n * law[k]) ** 2 / (n * law[k]) for k in often)
+    assert chi < len(often) + 4.5 * (2 * len(often)) ** 0.5
+
+
+def test_hypergeometric_ends(spark):
+    edge = spark.sql(f"SELECT {sharding.hypergeometric('5L', '5L', '3L', '1L')} a, {sharding.hypergeometric('0L', '0L', '0L', '2L')} b, {sharding.hypergeometric('5L', '0L', '5L', '3L')} c, {sharding.hypergeometric('500000L', '500000L', '3000L', '3L')} d, {sharding.hypergeometric('500000L', '3000L', '500000L', '3L')} e").first()
+    assert tuple(edge) == (3, 0, 0, 3000, 3000)
+
+
+def test_cells_are_permuted_in_parts(spark):
+    got = sharding.shuffle_into_shards(spark.range(0, 5003, 1, 7), 24, rows_per_cell=20, max_cells=48).collect()
+    assert sorted(r["id"] for r in got) == list(range(5003))
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(map(len, slots.values())) == [208] * 13 + [209] * 11
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 def test_matrix_has_exact_margins(spark):
