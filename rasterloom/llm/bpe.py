@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding with reuse of content-defined chunks.
 
-A rolling hash over a text's bytes cuts it into chunks, so that shared passages give shared chunks wherever they stand.
-Chunks are counted over all documents by their hash; those that save the most bytes, up to fixed bounds, are encoded once
-each and sent to all workers. A document takes the ids of such chunks from there. Only the text between and around them is
+A rolling hash over a text's bytes cuts it into chunks, so that shared passages give shared chunks wherever they stand. An
+index of all chunks (text, place, hash) tells which occur more than once. Each of those is encoded once, where it occurs
+first; texts that hold such chunks meet their ids by a join on the chunk's hash. Only the text between and around them is
 encoded, and each join is re-encoded from a sure boundary before it up to boundaries inside the chunk, further and
-further, until the ids agree with the chunk's own. Any other chunk is encoded in its place: bounds limit reuse, never results.
+further, until the ids agree with the chunk's own. Texts without a shared chunk are encoded where they are read, and equal
+texts once. Nothing is gathered in the driver, and there is no bound on how many chunks are shared.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, lookup, stored
 
 #: Pretokens of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts with other characters, or with white space runs so long that an expression may give up, go to the library itself.
 UNUSUAL = re.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]|\s{4000}")
-#: After a letter, a blank before a letter always begins a pretoken, whatever stands around.
-SURE = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Letters that every version of the Unicode tables has, and punctuation: of ASCII, general, and of East Asian scripts.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿΑ-Ρα-ωА-яא-תء-غف-يक-हก-ฮ가-힣ぁ-ゖァ-ヺ一-龥"
+_SIGNS = ",.;:!?)、。「」，！？；："
+#: Where a pretoken begins, whatever stands around: a blank between letters, and a sign after a letter.
+SURE = re.compile(f"(?<=[{_LETTERS}]) (?=[{_LETTERS}])|(?<=[{_LETTERS}])(?=[{_SIGNS}])")
 WINDOW, CHUNK_BITS, LEAST, MOST = 32, 10, 256, 64 << 10
-#: Bounds of the shared chunks: their number and bytes.
-SHARED_CHUNKS, SHARED_BYTES = 1 << 14, 16 << 20
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
@@ -45,6 +48,9 @@ class Codec:
         self.library.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        first = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True):
+            raise ValueError("the tokenizer's file must have no normaliser and plain byte-level pretokens")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         odd = [b for b in range(256) if b not in plain]
         letters = {chr(c): b for c, b in [*zip(plain, plain), *zip(range(256, 256 + len(odd)), odd)]}
@@ -59,14 +65,21 @@ class Codec:
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.comma = np.array([f"{n}," for n in range(max(self.bytes_of) + 1)], "S")
 
+    def coder(self, text: str) -> Callable[[str], list[int]]:
+        """What encodes a text and its parts: the fast path, or the library where a character needs it."""
+        if UNUSUAL.search(text) or self.marks and self.marks.search(text):
+            return lambda part: self.library.encode(part, add_special_tokens=False).ids
+        return self.fast.encode_ordinary
+
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        if UNUSUAL.search(text) or self.marks and self.marks.search(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        return self.coder(text)(text)
+
+    def bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return self.bytes(ids).decode("utf-8", "replace")
 
     def digest(self, ids: list[int]) -> str:
         """SHA-256 of the decimal ids joined by commas."""
@@ -112,115 +125,82 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
-def chunk_hash(chunk: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(chunk, digest_size=8).digest(), "big", signed=True)
+def text_key(text: str):
+    """Two longs by which equal texts are known, as columns: hashes with different seeds."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(whole), F.xxhash64(F.lit(1), whole, F.length(whole))
 
 
-def chunk_counts(df: DataFrame) -> DataFrame:
-    """(hash, size, n): each chunk of the texts, and how often it occurs. A task counts its own first."""
+def chunk_index(keyed: DataFrame, tokenizer: str) -> DataFrame:
+    """(t0, t1, start, end, h0, h1): each chunk of LEAST bytes or more of the texts (t0, t1, text), by place and hash."""
 
     def run(batches):
         import xxhash
 
+        codec = None
         for batch in batches:
-            seen: dict[tuple[int, int], int] = {}
-            for value in batch.column(0):
-                data = (value.as_py() or "").encode("utf-8", "surrogatepass")
-                last = 0
+            codec = codec or Codec(tokenizer)
+            rows = []
+            for t0, t1, value in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("t0", "t1", "text")]):
+                text, last = value.as_py(), 0
+                if codec.marks and codec.marks.search(text):  # a special token isn't read from parts
+                    continue
+                data = text.encode("utf-8", "surrogatepass")
                 for end in cuts(data):
                     if end - last >= LEAST:
-                        k = (xxhash.xxh3_64_intdigest(data[last:end]) - (1 << 63), end - last)
-                        seen[k] = seen.get(k, 0) + 1
+                        h = xxhash.xxh3_128_digest(data[last:end])
+                        rows.append((t0.as_py(), t1.as_py(), last, end, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
                     last = end
-            if seen:
-                keys = list(seen)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["hash", "size", "n"])
-
-    return df.select("text").mapInArrow(run, "hash long, size long, n long").groupBy("hash", "size").agg(F.sum("n").alias("n"))
-
-
-def shared_chunks(df: DataFrame, tokenizer: str, most: int = SHARED_CHUNKS, most_bytes: int = SHARED_BYTES) -> dict[bytes, tuple]:
-    """The chunks that reuse saves most on, within bounds: each one's bytes with its ids (an array) and sure boundaries."""
-    best = chunk_counts(df).where("n > 1").orderBy(F.desc(F.expr("(n - 1) * size")), "hash", "size").limit(most).collect()
-    wanted, total = {}, 0
-    for row in best:
-        total += row["size"]
-        if total <= most_bytes:
-            wanted[row["hash"]] = row["size"]
-    if not wanted:
-        return {}
-
-    def run(batches):
-        import xxhash
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["t0", "t1", "start", "end", "h0", "h1"])
 
-        left = dict(wanted)
-        for batch in batches:
-            hashes, chunks = [], []
-            for value in batch.column(0):
-                data, last = (value.as_py() or "").encode("utf-8", "surrogatepass"), 0
-                for end in cuts(data) if left else ():
-                    if end - last >= LEAST:
-                        h = xxhash.xxh3_64_intdigest(data[last:end]) - (1 << 63)
-                        if left.get(h) == end - last:
-                            hashes.append(h)
-                            chunks.append(data[last:end])
-                            del left[h]
-                    last = end
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(chunks, pa.binary())], names=["hash", "chunk"])
+    long = keyed.where(F.octet_length("text") >= LEAST)
+    return stored(long.mapInArrow(run, "t0 long, t1 long, start long, end long, h0 long, h1 long"), "chunks")
 
-    def once(batches):
-        codec = Codec(tokenizer)
-        for batch in batches:
-            rows = [(c, *known) for c in batch.column(batch.schema.get_field_index("chunk")).to_pylist() if (known := learn(codec, c))]
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            packed = [np.array(ids, np.int32).tobytes() for ids in cols[1]]  # plain integers would take nine times as much in the driver
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(packed, pa.binary()), *[pa.array(c, pa.list_(pa.int32())) for c in cols[2:]]], names=["chunk", "ids", "byte", "token"])
 
-    found = df.select("text").mapInArrow(run, "hash long, chunk binary").groupBy("hash").agg(F.first("chunk").alias("chunk")).select("chunk")
-    rows = found.mapInArrow(once, "chunk binary, ids binary, byte array<int>, token array<int>").collect()
-    return {bytes(r["chunk"]): (np.frombuffer(bytes(r["ids"]), np.int32), r["byte"], r["token"]) for r in rows}
+def shared_places(index: DataFrame) -> DataFrame:
+    """(t0, t1, places): the places of shared chunks in each text that has any, and whether the chunk is encoded there."""
+    first = F.min(F.struct("t0", "t1", "start")).alias("first")
+    shared = stored(index.groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").select("h0", "h1", "first"), "shared-chunks")
+    own = F.struct("t0", "t1", "start") == F.col("first")
+    place = F.struct("start", "end", "h0", "h1", own.alias("own"))
+    return stored(lookup(index, shared, ["h0", "h1"], "inner", 120).groupBy("t0", "t1").agg(F.sort_array(F.collect_set(place)).alias("places")), "places")
 
 
 def learn(codec: Codec, chunk: bytes) -> tuple[list[int], list[int], list[int]] | None:
-    """A chunk's ids and its sure boundaries, as bytes and as tokens before; None if it has too few or needs the library."""
+    """A chunk's ids and its sure boundaries, as bytes and as tokens before; None if it has too few."""
     text = chunk.decode("utf-8", "surrogatepass")
-    if UNUSUAL.search(text) or codec.marks and codec.marks.search(text):
-        return None
-    ids = codec.fast.encode_ordinary(text)
+    ids = codec.encode(text)
     at = np.append(0, np.cumsum(codec.size[ids]))
-    sure = np.array([m.start() for m in SURE.finditer(chunk)], np.int64)
+    sure = np.array([m.start() for m in SURE.finditer(text)], np.int64)
+    if not text.isascii():
+        sure = np.append(0, np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in text]))[sure]
     token = np.searchsorted(at, sure)
     if len(sure) < 3 or (at[token] != sure).any():
         return None
-    sure, token = [np.append(x[:16], x[-1:]).tolist() for x in (sure, token)]
-    return ids, sure, token
+    return ids, *[np.append(x[:16], x[-1:]).tolist() for x in (sure, token)]
 
 
-def encode_with(codec: Codec, text: str, shared: dict[bytes, tuple]) -> list[int]:
-    """The ids of a whole text, with those of shared chunks taken over and their joins repaired."""
-    if not shared or len(text) < LEAST or UNUSUAL.search(text) or codec.marks and codec.marks.search(text):
-        return codec.encode(text)
-    data = text.encode()
+def encode_with(codec: Codec, text: str, known: Iterable[tuple]) -> list[int]:
+    """The ids of a whole text, with those of known chunks (start, end, ids, byte, token) taken over and their joins repaired."""
+    code, data = codec.coder(text), text.encode("utf-8", "surrogatepass")
     out: list[int] = []
-    done = last = 0
-    for end in cuts(data):
-        known = shared.get(data[last:end]) if end - last >= LEAST else None
-        if known:
-            ids, byte, token = known
-            # from a sure boundary before the join to one inside the chunk, until the two agree on what lies between
-            for k in range(len(byte) - 2):
-                if last + byte[k] <= done:
-                    continue
-                window = codec.fast.encode_ordinary(data[done : last + byte[k + 1]].decode())
-                own = ids[token[k] : token[k + 1]].tolist()
-                if own and window[-len(own) :] == own:
-                    out += window
-                    out += ids[token[k + 1] : token[-1]].tolist()
-                    done = last + byte[-1]
+    done = 0
+    for start, end, ids, byte, token in known:
+        # from a sure boundary before the join to one inside the chunk, until the two agree on what lies between
+        for k in range(len(byte) - 2):
+            if start + byte[k] <= done:
+                continue
+            window = code(data[done : start + byte[k + 1]].decode("utf-8", "surrogatepass"))
+            own = list(ids[token[k] : token[k + 1]])
+            if own and window[-len(own) :] == own:
+                if codec.bytes(ids) != data[start:end]:  # another chunk under the same hash
                     break
-        last = end
-    return out + codec.fast.encode_ordinary(data[done:].decode())
+                out += window
+                out += ids[token[k + 1] : token[-1]]
+                done = start + byte[-1]
+                break
+    return out + code(data[done:].decode("utf-8", "surrogatepass"))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -228,34 +208,107 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
+def _answers(codec: Codec, found: list[list[int] | None], ids: bool) -> list[pa.Array]:
+    """The new columns of some texts' ids; null for None."""
+    counts = [None if f is None else len(f) for f in found]
+    digests = [None if f is None else codec.digest(f) for f in found]
+    decoded = [None if f is None else hashlib.sha256(codec.decode(f).encode("utf-8", "surrogatepass")).hexdigest() for f in found]
+    return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([_lists([np.array(f or [], np.int32) for f in found])] if ids else [])]
+
+
+def encoded_chunks(marked: DataFrame, tokenizer: str) -> DataFrame:
+    """(h0, h1, ids, byte, token): each shared chunk, encoded at the place (text, places) that it is encoded at."""
+
+    def run(batches):
+        codec, kinds = None, [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        for batch in batches:
+            codec, rows = codec or Codec(tokenizer), []
+            for text, places in zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("text", "places")]):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                for place in places.as_py():
+                    if place["own"] and (known := learn(codec, data[place["start"] : place["end"]])):
+                        rows.append((place["h0"], place["h1"], np.array(known[0], np.int32).tobytes(), *known[1:]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["h0", "h1", "ids", "byte", "token"])
+
+    owners = marked.where("exists(places, p -> p.own)").select("text", "places")
+    every = owners.mapInArrow(run, "h0 long, h1 long, ids binary, byte array<int>, token array<int>")
+    return stored(every.dropDuplicates(["h0", "h1"]), "encoded-chunks")  # copies of an owner's text encode it as well
+
+
+def _met(tokenizer: str, ids: bool):
+    """Rows of a text (null start) and of its chunks, sorted by text: the new columns of each text, once."""
+
+    def run(batches):
+        codec, now, text, known = Codec(tokenizer), None, None, []
+
+        def answer() -> pa.RecordBatch:
+            new = _answers(codec, [encode_with(codec, text, known)], ids)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64()), *new], names=["t0", "t1", *names])
+
+        names = [f.name for f in FIELDS] + (["ids"] if ids else [])
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("t0", "t1", "start", "end", "text", "ids", "byte", "token")]
+            for k in range(batch.num_rows):
+                t0, t1, start, end = (c[k].as_py() for c in columns[:4])
+                if (t0, t1) != now:
+                    if now is not None:
+                        yield answer()
+                    now, known = (t0, t1), []
+                if start is None:
+                    text = columns[4][k].as_py()
+                else:
+                    known.append((start, end, np.frombuffer(columns[5][k].as_py(), np.int32).tolist(), columns[6][k].as_py(), columns[7][k].as_py()))
+        if now is not None:
+            yield answer()
+
+    return run
+
+
 def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
     """The ``keep`` columns (all) with n_tokens, ids_sha256 and decoded_sha256 of each whole text; with ``ids`` also the ids.
 
     As the tokenizers library encodes with add_special_tokens=False, truncation and padding unused; a special token's
-    string in a text is that token. Decoding keeps special tokens. A null text is empty. Rows pass one by one, repeated
-    rows too; texts may have any length.
+    string in a text is that token. Decoding keeps special tokens. A null text is empty. Repeated rows stay; texts may have
+    any length. Kept columns named as a new one (in any case) give way to it.
     """
-    shared = shared_chunks(df.select(F.col(text).alias("text")), tokenizer)
-    spread = df.sparkSession.sparkContext.broadcast(shared)  # at most SHARED_CHUNKS chunks of SHARED_BYTES
+    fields = [*FIELDS, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])]
+    new = {f.name for f in fields}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
+    t0, t1 = text_key(text)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+    places = shared_places(chunk_index(df.select(t0.alias("t0"), t1.alias("t1"), whole), tokenizer))
+    # kept columns travel in a struct, so that their names can't clash with those of the work
+    rows = df.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in kept]).alias("kept"), t0.alias("t0"), t1.alias("t1"), whole)
+    rows = lookup(rows, places, ["t0", "t1"], "left", 300)
 
     def work():
-        codec, known = Codec(tokenizer), spread.value
+        codec = Codec(tokenizer)
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            counts, digests, decoded, lists = [], [], [], []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                found = encode_with(codec, value.as_py() or "", known)
-                counts.append(len(found))
-                digests.append(codec.digest(found))
-                decoded.append(hashlib.sha256(codec.decode(found).encode("utf-8", "surrogatepass")).hexdigest())
-                if ids:
-                    lists.append(np.array(found, np.int32))
-            return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *([_lists(lists)] if ids else [])]
+            marked, texts = [batch.column(batch.schema.get_field_index(c)) for c in ("places", "text")]
+            found = [None if p.is_valid else codec.encode(t.as_py()) for p, t in zip(marked, texts)]
+            left = [t.as_py() if p.is_valid else None for p, t in zip(marked, texts)]
+            return [pa.array(left, pa.string()), *_answers(codec, found, ids)]
 
         return each
 
-    fields = [*FIELDS, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])]
-    return add_columns(df, fields, work, [text], df.columns if keep is None else keep)
+    first = [T.StructField("text", T.StringType()), *fields]
+    done = stored(add_columns(rows, first, work, ["text"], ["kept", "t0", "t1", "places"]), "encoded")
+    marked = done.where("text IS NOT NULL").select("t0", "t1", "text", "places")
+    chunks = encoded_chunks(marked, tokenizer)
+    held = lookup(marked.select("t0", "t1", F.explode("places").alias("p")).select("t0", "t1", "p.*").drop("own").distinct(), chunks, ["h0", "h1"], "inner", 2400)
+    shape = "t0 long, t1 long, start long, end long, text string, ids binary, byte array<int>, token array<int>"
+    none = lambda kind: F.lit(None).cast(kind)
+    texts = marked.select("t0", "t1", none("long").alias("start"), none("long").alias("end"), "text", none("binary").alias("ids"), none("array<int>").alias("byte"), none("array<int>").alias("token"))
+    met = texts.unionByName(held.select("t0", "t1", "start", "end", none("string").alias("text"), "ids", "byte", "token"))
+    met = met.repartition("t0", "t1").sortWithinPartitions("t0", "t1", F.asc_nulls_first("start"))
+    answers = met.mapInArrow(_met(tokenizer, ids), T.StructType([T.StructField("t0", T.LongType()), T.StructField("t1", T.LongType()), *fields]))
+    names = [f.name for f in fields]
+    out = [*[F.col(f"kept.`{c}`") for c in kept], *names]
+    direct = done.where("text IS NULL").select(*out)
+    met = lookup(done.where("text IS NOT NULL").select("kept", "t0", "t1"), stored(answers, "answers"), ["t0", "t1"], "inner", 4096 if ids else 300)
+    return direct.unionByName(met.select(*out))
 
 
 def decode_documents(df: DataFrame, tokenizer: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:

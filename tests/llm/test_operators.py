@@ -213,27 +213,47 @@ def test_encoding_equals_the_library(spark, library):
     assert bpe.encode_documents(every.limit(0), TOKENIZER).count() == 0
 
 
-def test_shared_chunks_are_reused_and_joins_repaired(spark, corpus):
-    codec = bpe.Codec(TOKENIZER)
+SCRIPTS = {
+    "latin": ("abcdefghijklmnopqrstuvwxyzé", " "),
+    "cyrillic": ("абвгдежзиклмнопрстуфхцчшыэюя", " "),
+    "greek": ("αβγδεζηθικλμνξοπρστυφχψω", " "),
+    "chinese": ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "，"),
+    "arabic": ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", " "),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_shared_chunks_are_encoded_once_and_joins_repaired(spark, library, script, monkeypatch):
     luck = random.Random(4)
-    parts = [t for _, t, _ in corpus if len(t) > 2500][:6]
-    texts = ["".join(luck.choice(["", " ", "\n", "x", "é", " 12"]) + luck.choice(parts) for _ in range(4)) for _ in range(30)]
-    shared = bpe.shared_chunks(spark.createDataFrame([(t,) for t in texts], "text string"), TOKENIZER)
-    assert shared
-    asked = []
-    plain = codec.fast.encode_ordinary
-    for t in texts:
-        whole = codec.encode(t)
-
-        class Counting:
-            encode_ordinary = staticmethod(lambda s: asked.append(len(s)) or plain(s))
-
-        fast, codec.fast = codec.fast, Counting
-        assert bpe.encode_with(codec, t, shared) == whole
-        codec.fast = fast
+    letters, blank = SCRIPTS[script]
+    say = lambda n: blank.join("".join(luck.choice(letters) for _ in range(luck.randrange(2, 9))) for _ in range(n))
+    parts = [say(1200) for _ in range(6)]
+    texts = ["".join(luck.choice(["", " ", "\n", "x", "é", " 12", "'s "]) + luck.choice(parts) for _ in range(4)) for _ in range(30)] + [say(50)]
+    rows = spark.createDataFrame([*enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(rows, TOKENIZER, ids=True).collect()}
+    assert got == {d: library.encode(t, add_special_tokens=False).ids for d, t in enumerate(texts)}
+    keyed = rows.select(F.xxhash64("text").alias("t0"), F.xxhash64(F.lit(1), "text").alias("t1"), "text")
+    places = bpe.shared_places(bpe.chunk_index(keyed, TOKENIZER))
+    marked = keyed.join(places, ["t0", "t1"])
+    chunks = {(r["h0"], r["h1"]): (np.frombuffer(bytes(r["ids"]), np.int32).tolist(), r["byte"], r["token"]) for r in bpe.encoded_chunks(marked, TOKENIZER).collect()}
+    assert chunks
+    codec, asked = bpe.Codec(TOKENIZER), []
+    real = codec.coder
+    for r in marked.collect():
+        monkeypatch.setattr(codec, "coder", lambda text: lambda part: asked.append(len(part)) or real(text)(part))
+        known = [(p["start"], p["end"], *chunks[p["h0"], p["h1"]]) for p in r["places"] if (p["h0"], p["h1"]) in chunks]
+        assert bpe.encode_with(codec, r["text"], known) == library.encode(r["text"], add_special_tokens=False).ids
     assert sum(asked) < 0.6 * sum(map(len, texts))
 
 
+def test_another_chunk_under_the_same_hash_is_not_taken():
+    codec = bpe.Codec(TOKENIZER)
+    one, other = "a shared passage of some plain words that goes on and on " * 6, "a shared passage of some plain words that ends in others " * 6
+    assert len(one) == len(other)
+    text = "before " + one + " after"
+    assert bpe.encode_with(codec, text, [(7, 7 + len(one), *bpe.learn(codec, other.encode()))]) == codec.encode(text)
+
+
 def test_cuts_follow_the_content():
     luck = random.Random(1)
     body = "".join(luck.choice("abcdefgh é\n") for _ in range(40_000)).encode()
@@ -573,7 +593,7 @@ def test_secrets_edge_rows(docs, none):
 # beyond the size that is broadcast
 
 
-@pytest.mark.parametrize("name", ["op1_sharding", "op3_warc", "op9_simhash"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op3_warc", "op4_bpe", "op9_simhash"])
 def test_results_are_the_same_without_broadcasts(spark, monkeypatch, name):
     want = sorted(map(str, queries.QUERIES[name](spark, SF).collect()))
     monkeypatch.setattr("rasterloom.llm.common.BROADCAST_BYTES", 0)
