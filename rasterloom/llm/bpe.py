@@ -283,12 +283,16 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
     rows = lookup(rows, places, ["t0", "t1"], "left", 300)
 
     def work():
-        codec = Codec(tokenizer)
+        codec, seen = Codec(tokenizer), set()
 
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            marked, texts = [batch.column(batch.schema.get_field_index(c)) for c in ("places", "text")]
+            marked, texts, t0, t1 = [batch.column(batch.schema.get_field_index(c)) for c in ("places", "text", "t0", "t1")]
             found = [None if p.is_valid else codec.encode(t.as_py()) for p, t in zip(marked, texts)]
-            left = [t.as_py() if p.is_valid else None for p, t in zip(marked, texts)]
+            left = []
+            for p, t, key in zip(marked, texts, zip(t0.to_pylist(), t1.to_pylist())):
+                left.append(t.as_py() if p.is_valid and key not in seen else None)  # a task passes a marked text on once
+                if p.is_valid:
+                    seen.add(key)
             return [pa.array(left, pa.string()), *_answers(codec, found, ids)]
 
         return each
@@ -306,8 +310,8 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
     answers = met.mapInArrow(_met(tokenizer, ids), T.StructType([T.StructField("t0", T.LongType()), T.StructField("t1", T.LongType()), *fields]))
     names = [f.name for f in fields]
     out = [*[F.col(f"kept.`{c}`") for c in kept], *names]
-    direct = done.where("text IS NULL").select(*out)
-    met = lookup(done.where("text IS NOT NULL").select("kept", "t0", "t1"), stored(answers, "answers"), ["t0", "t1"], "inner", 4096 if ids else 300)
+    direct = done.where("places IS NULL").select(*out)
+    met = lookup(done.where("places IS NOT NULL").select("kept", "t0", "t1"), stored(answers, "answers"), ["t0", "t1"], "inner", 4096 if ids else 300)
     return direct.unionByName(met.select(*out))
 
 

@@ -27,6 +27,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CRC_TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 WEB_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+#: A run that a web token begins with: where a token fails, it fails all along the run.
+WEB_RUN = re.compile(r"[A-Za-z0-9_-]*")
 PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----")
 #: Keywords by kind. They are sought in lower case, and each expression begins with one.
 KEYWORDS = {
@@ -85,10 +87,14 @@ def finder() -> Callable[[str], list[tuple[int, int, str]]]:
         hits = [(end - n + 1, of) for end, (n, of) in automaton.iter(low)]
         for start, of in sorted(hits):
             for kind in of:
-                if start >= done[kind] and (m := EXPRESSIONS[kind].match(text, start)):
+                if start < done[kind]:
+                    continue
+                if m := EXPRESSIONS[kind].match(text, start):
                     done[kind] = m.end()  # a failing match uses up its characters as well
                     if _holds(kind, m):
                         found.append((start, m.end(), kind))
+                elif kind == "web_token" and text.startswith("eyJ", start):
+                    done[kind] = WEB_RUN.match(text, start).end()
         return sorted(found, key=lambda s: (s[0], order[s[2]]))
 
     return find

@@ -18,13 +18,16 @@ from .common import stored
 
 #: Sums below this are exact in double precision, where BLAS multiplies.
 EXACT = 2**53
+#: Scores end here, and below it products fit into 64 bits.
+LARGEST = 2**63 - 3
 LISTS = "query_id long, shard int, top array<struct<loss: long, vec_id: long>>"
 
 
 def quantised(x: str, scale: int = 64) -> str:
-    """SQL for floor(scale * v) of each component as double; null where a component is null or not finite."""
+    """SQL for floor(scale * v) of each component as double, at most 9.2e18 either way; null where a component is null or not finite."""
     ok = f"{x} IS NOT NULL AND NOT exists({x}, v -> v IS NULL OR isnan(v) OR abs(v) = double('infinity'))"
-    return f"CASE WHEN {ok} THEN transform({x}, v -> CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) END"
+    held = f"greatest(-9.2e18D, least(9.2e18D, floor({scale} * CAST(v AS DOUBLE))))"
+    return f"CASE WHEN {ok} THEN transform({x}, v -> CAST({held} AS BIGINT)) END"
 
 
 def _select(best: tuple, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
@@ -42,15 +45,24 @@ def _select(best: tuple, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by BLAS in doubles where they surely fit, else in 64-bit integers."""
+    """Exact integer products: by BLAS in doubles where they surely fit, else in 64-bit integers; one that 64 bits may not
+    hold is computed without a bound and ends at the largest or smallest long but one."""
     if not a.shape[1]:
         return np.zeros((len(a), len(b)), np.int64)
-    most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+    size = lambda m: [max(int(r.max(initial=0)), -int(r.min(initial=0))) for r in m]
+    left, right = size(a), size(b)
+    most = max(left, default=0) * max(right, default=0) * a.shape[1]
     if most < EXACT:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if most >= 2**63:
-        raise OverflowError("an inner product does not fit into 64 bits")
-    return a @ b.T
+    if most < LARGEST:
+        return a @ b.T
+    out = np.zeros((len(a), len(b)), np.int64)
+    calm = [np.array([n * max(other, default=0) * a.shape[1] < LARGEST for n in own], bool) for own, other in ((left, right), (right, left))]
+    out[calm[0]] = a[calm[0]] @ b.T
+    out[:, calm[1]] = a @ b[calm[1]].T
+    for i, j in zip(*np.nonzero(~calm[0][:, None] & ~calm[1][None, :])):
+        out[i, j] = max(-LARGEST, min(LARGEST, sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist()))))
+    return out
 
 
 def _cells(k: int, tile: int):
@@ -79,8 +91,10 @@ def _cells(k: int, tile: int):
             return pa.RecordBatch.from_arrays([pa.array(matrix_ids), pa.array([cell[2]] * len(matrix_ids), pa.int32()), pa.array(tops, kind)], names=["query_id", "shard", "top"])
 
         for batch in batches:
-            cols = batch.to_pydict()
-            for dim, block, shard, asks, vec_id, vec in zip(*[cols[c] for c in ("dim", "block", "shard", "asks", "vec_id", "vec")]):
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            flat, ends = column("vec").values.to_numpy(zero_copy_only=False), column("vec").offsets.to_pylist()
+            vectors = [flat[a:b] for a, b in zip(ends, ends[1:])]
+            for dim, block, shard, asks, vec_id, vec in zip(*[column(c).to_pylist() for c in ("dim", "block", "shard", "asks", "vec_id")], vectors):
                 if (dim, block, shard) != cell:
                     if cell is not None and (out := emit()) is not None:
                         yield out
@@ -105,10 +119,10 @@ def top_k(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    block_rows: int = 4096,
+    block_rows: int = 16384,
     shard_rows: int = 16384,
     max_shards: int = 256,
-    tile_rows: int = 1024,
+    tile_rows: int = 256,
     fan_in: int = 16,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k highest integer inner products, ties to the smaller vec_id.

@@ -22,12 +22,13 @@ from .common import lookup, make_folder, new_folder, stored
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 CRLF = b"\r\n"
-#: A name for the records, which a fixed page has in every run.
+#: The space of the records' names.
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def _record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id} {url}')}>"
+def _record_id(page_id: int | None, place: str) -> str:
+    """A name by page and place, so that rows that repeat have their own."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id} {place}')}>"
 
 
 def _clean(value: str) -> bytes:
@@ -39,11 +40,11 @@ def _plain(value: bytes) -> str:
     return value.decode("utf-8", "surrogatepass").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
     """One WARC/1.1 record. A revisit keeps the HTTP header of its response, with the payload's length, and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    lines = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: " + _record_id(page_id, url).encode(), b"WARC-Date: 2020-01-01T00:00:00Z"]
+    lines = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: " + _record_id(page_id, place).encode(), b"WARC-Date: 2020-01-01T00:00:00Z"]
     if url is not None:
         lines.append(b"WARC-Target-URI: " + _clean(url))
     lines.append(b"WARC-Payload-Digest: sha256:" + digest.encode())
@@ -69,7 +70,16 @@ def decode_record(raw: bytes) -> dict:
     return {"page_id": number(b"X-Page-ID"), "url": _plain(fields[b"WARC-Target-URI"]) if b"WARC-Target-URI" in fields else None, "record_type": kind, "refers_to": number(b"X-Refers-To-Page-ID"), "payload_bytes": size, "payload_digest": digest, "payload": payload if kind == "response" else None}
 
 
+#: Schemes that Spark and Arrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs"}
+#: A read has at most so many tasks; with more bytes, each reads more blocks.
+MOST_TASKS = 1 << 14
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path there."""
+    scheme, mark, rest = uri.partition("://")
+    uri = SCHEMES.get(scheme, scheme) + mark + rest
     return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
 
 
@@ -84,7 +94,7 @@ def _writer(folder: str, level: int):
                     payload = bytes(payload)
                     revisit, digest = refers_to is not None, hashlib.sha256(payload).hexdigest()
                     gz = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    member = gz.compress(encode_record(page_id, url, payload, digest, refers_to, revisit)) + gz.flush()
+                    member = gz.compress(encode_record(page_id, url, payload, digest, refers_to, revisit, f"{uri} {at}")) + gz.flush()
                     if out is None:
                         system, path = _open(uri)
                         out = system.open_output_stream(path, compression=None)
@@ -168,6 +178,6 @@ def read_records(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, blo
     together, up to ``most`` bytes at once (a longer record by itself).
     """
     # the index is small and the archives aren't: adaptive execution would join its partitions into one task
-    tasks = 1 + int((index.agg(F.sum("length").alias("n")).first()["n"] or 0) // block)
+    tasks = min(MOST_TASKS, 1 + int((index.agg(F.sum("length").alias("n")).first()["n"] or 0) // block))
     placed = index.select("file", "offset", "length").repartition(tasks, "file", F.expr(f"offset div {block}")).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(_reader(gap, most), RECORDS)

@@ -613,3 +613,33 @@ def test_queries_take_tables_with_nulls_and_repeats(spark, tmp_path):
     spark.createDataFrame([(None, None), (1, "The quick brown fox")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     for name, query in queries.QUERIES.items():
         assert query(spark, at).collect() is not None, name
+
+
+def test_failing_web_tokens_take_linear_time():
+    import time
+
+    find = secrets.finder()
+    began = time.perf_counter()
+    assert find("eyJabcdefgh" * 100_000) == [] and find("eyJabcdefgh.eyJabcdefgh.x " * 20_000) == []
+    assert time.perf_counter() - began < 5
+    assert [k for _, _, k in find("eyJeyJabcdefgh eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK")] == ["web_token"]
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e30, 1.0]), (20, [1e20, -1e25]), (1, [1.0, 2.0]), (2, [-1e30, 0.0]), (3, [3.4e38, 3.4e38])]
+    vecs = spark.createDataFrame(rows, "vec_id long, x array<double>").select("vec_id", F.expr(topk.quantised("x")).alias("vec"))
+    whole = {r["vec_id"]: r["vec"] for r in vecs.collect()}
+    assert whole[1] == [64, 128] and whole[2] == [-(92 * 10**17), 0]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(vecs, vecs, 4).collect()}
+    product = lambda a, b: max(-topk.LARGEST, min(topk.LARGEST, sum(x * y for x, y in zip(whole[a], whole[b]))))
+    assert got == {(a, b): product(a, b) for a in whole for b in whole if a != b}
+
+
+def test_repeated_rows_have_their_own_records(spark):
+    index = warc.write_archives(spark.createDataFrame([(1, "u", "x")] * 5, "page_id long, url string, html string"))
+    names = set()
+    for r in index.collect():
+        with open(r["file"].removeprefix("file:"), "rb") as f:
+            f.seek(r["offset"])
+            names.add(re.search(rb"WARC-Record-ID: (\S+)", zlib.decompress(f.read(r["length"]), 31))[1])
+    assert len(names) == 5
