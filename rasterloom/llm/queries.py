@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -15,6 +16,16 @@ from . import bpe, decontam, langid, pii, secrets, sharding, simhash, token_coun
 TOKENIZER = os.environ.get("TOKENIZER_FILE") or str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: The session's setting for the secret of the pseudonyms. Unset: a random one, kept for the session.
+KEY_SETTING = "spark.rasterloom.pseudonym.key"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, uuid.uuid4().hex)
+    return spark.conf.get(KEY_SETTING)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,7 +38,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    return pii.pseudonyms(_table(spark, sf_dir, "documents"), pseudonym_key(spark), keep=["doc_id", "text"])
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,10 +143,71 @@ def test_dates_keep_their_reading():
             seen.add(new)
 
 
+def test_equal_values_stay_linked_in_every_notation():
+    """Against a table of the permutation by day: all notations of a day are pseudonyms of one day, and none are lost."""
+    new = lambda text: pii.pseudonymise(text, b"k")
+    for n in range(0, 73_000, 613):
+        d = datetime.date(1900, 1, 1) + datetime.timedelta(n)
+        to = datetime.date.fromisoformat(new(d.isoformat())[0])
+        assert to == pii._other_day(d, b"k")
+        month = pii.MONTHS[d.month - 1]
+        said = [f"{d.year}/{d.month}/{d.day}", f"{d.isoformat()}T10:00:00", f"{d.month:02d}/{d.day:02d}/{d.year}", f"{d.day:02d}.{d.month:02d}.{d.year}", f"{d.day}-{d.month}-{d.year}", f"{month} {d.day}, {d.year}", f"{d.day} {month[:3]} {d.year}"]
+        name = pii.MONTHS[to.month - 1]
+        m, k = [f"{v:02d}" if min(d.month, d.day) > 9 else str(v) for v in (to.month, to.day)]  # two digits where all have two
+        want = [f"{to.year}/{m}/{k}", f"{to.isoformat()}T10:00:00", f"{to.month:02d}/{to.day:02d}/{to.year}", f"{to.day:02d}.{to.month:02d}.{to.year}", f"{k}-{m}-{to.year}"]
+        assert [new(v)[0] for v in said[:5]] == want
+        assert new(said[5])[0] in (f"{name} {to.day}, {to.year}", f"{name[:3]} {to.day}, {to.year}")
+        assert new(said[6])[0] in (f"{to.day} {name} {to.year}", f"{to.day} {name[:3]} {to.year}")
+        if d.day > 12:  # in the other order, which only such days have
+            assert new(f"{d.day}/{d.month}/{d.year}")[0] in (f"{k}/{m}/{to.year}", f"{m}/{k}/{to.year}")
+    digits = lambda v: re.sub(r"\D", "", v)[-10:]
+    phones = ["+14155552671", "+1 (415) 555-2671", "(415) 555-2671", "415-555-2671", "415.555.2671", "415 555 2671", "+1-415-555-2671"]
+    assert len({digits(new(p)[0]) for p in phones}) == 1 and digits(new(phones[0])[0]) != "4155552671"
+    assert new("A.b@X.com")[0].lower() == new("a.B@x.com")[0].lower() != "a.b@x.com"
+    assert new("078-05-1120")[0].replace("-", " ") == new("078 05 1120")[0]
+    assert new("2001:db8::1")[0] == new("2001:0db8:0:0:0:0:0:1")[0] != "2001:db8::1"
+    for kept in ("000-555-2671", "415 555-2671x", "10:00:00", "::1", "+44 0 1", "February 30, 2020", "1:2:3", "1234 555 2671"):
+        assert new(kept) == (kept, [])
+    assert new("+44 20 7946 0958")[0].startswith("+44 ") and len(new("+44 20 7946 0958")[0]) == 16
+
+
+def test_phone_numbers_stay_in_or_outside_the_plan():
+    luck = random.Random(2)
+    seen = set()
+    for _ in range(3000):
+        old = f"{luck.randrange(1000):03d}{luck.randrange(1000):03d}{luck.randrange(10_000):04d}"
+        new = pii._phone(f"+1{old}", b"k")[2:]
+        assert (pii._plan_place(old) is None) == (pii._plan_place(new) is None)
+        seen.add((old, new))
+    assert len({n for _, n in seen}) == len({o for o, _ in seen})
+    places = [pii._plan_place(f"{a:03d}{e:03d}0007") for a in range(1000) for e in (200, 299, 311, 411, 555, 999)]
+    real = [p for p in places if p is not None]
+    assert len(set(real)) == len(real) == 792 * 4 and max(real) < 792 * 792 * 10_000
+    assert all(pii._plan_place(pii._plan_number(p)) == p for p in real)
+
+
+def test_pseudonym_query_equals_brute_force(spark):
+    """Each text is its own kept parts with every span permuted by itself, under the session's key."""
+    key = hashlib.blake2b(queries.pseudonym_key(spark).encode()).digest()
+    old = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    private = 0
+    for r in queries.op2_pii(spark, SF).collect():
+        text, at, out = old[r["doc_id"]], 0, ""
+        for span in r["spans"].split(",") if r["spans"] else []:
+            kind, a, b = span.split(":")
+            value = text[int(a) : int(b)]
+            out, at, private = out + text[at : int(a)] + pii.PSEUDONYMS[kind](value, key), int(b), private + 1
+            assert pii.EXPRESSIONS[kind].search(text, int(a)).span() == (int(a), int(b))
+        assert r["text"] == out + text[at:]
+    assert private > 5
+
+
 def test_pseudonyms_edge_rows(spark, docs, none):
-    got = pii.pseudonyms(docs.withColumn("N_Private", F.lit("clash"))).collect()
+    got = pii.pseudonyms(docs.withColumn("N_Private", F.lit("clash")), "key").collect()
     assert [(r["doc_id"], r["text"]) for r in got] == TEXTS and {r["n_private"] for r in got} == {0}
-    assert pii.pseudonyms(none).count() == 0
+    assert pii.pseudonyms(none, "key").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonyms(none, "")
 
 
 # archives

@@ -62,9 +62,9 @@ def test_leaks_go_and_clean_documents_stay(spark, stages):
     assert {r["doc_id"] for r in after} == clean and len(clean) < len(before)
 
 
-def test_personal_data_is_rewritten(stages):
+def test_personal_data_is_rewritten(spark, stages):
     before, after, _ = stages["personal_data"]
-    key = hashlib.blake2b(b"corpus").digest()
+    key = hashlib.blake2b(queries.pseudonym_key(spark).encode()).digest()
     assert {r["doc_id"]: r["text"] for r in after} == {r["doc_id"]: pii.pseudonymise(r["text"], key)[0] for r in before}
     assert any(a["text"] != b["text"] for a, b in zip(sorted(before), sorted(after)))
 
