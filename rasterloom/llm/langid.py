@@ -26,7 +26,10 @@ BUCKETS, NGRAM, AFFIX = 1 << 16, 4, 4
 #: Words kept with their scores in a worker, words that forward-backward takes at once (a longer text by itself), and words scored at once.
 KEPT_WORDS, BATCH_WORDS, SCORED_WORDS = 300_000, 400_000, 20_000
 UNKNOWN = "und"
+#: The label of words in no language, which sorts behind all others. A field that knows it is trained on words made up for it.
+OTHER = "\U0010fffd"
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+RUNS = T.StructField("runs", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("first", T.LongType()), T.StructField("words", T.LongType())])))
 
 
 def words_of(text: str | None) -> list[str]:
@@ -76,6 +79,9 @@ class Model:
     moves: np.ndarray | None = None
     first: np.ndarray | None = None
 
+    def name(self, label: int) -> str:
+        return UNKNOWN if self.langs[label] == OTHER else self.langs[label]
+
     def emissions(self, words: list[str]) -> np.ndarray:
         """Each word's scores, so many words at once that their features stay small."""
         out = [np.zeros((0, len(self.langs)), np.float32)]
@@ -191,6 +197,26 @@ def training_spans(df: DataFrame, per_lang: int = 800, spans: int = 2, span_word
     return [rows[k] for k in np.random.default_rng(1).permutation(len(rows))]
 
 
+#: First letters and sizes of blocks of letters that made-up words take theirs from: Latin, Greek, Cyrillic, Hebrew, Arabic,
+#: Devanagari, Thai, Georgian, kana, ideographs, Hangul.
+BLOCKS = ((0x61, 26), (0xDF, 24), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 26), (0x905, 53), (0xE01, 46), (0x10D0, 33), (0x3041, 86), (0x30A1, 90), (0x4E00, 20_000), (0xAC00, 11_000))
+
+
+def made_up(spans: list[tuple[str, list[str]]], seed: int = 3) -> list[tuple[str, list[str]]]:
+    """Spans of words in no language, about as many as the languages have on average: of each span, either its words with
+    their letters in random order or words as long in random letters of one of the BLOCKS."""
+    luck, out = np.random.default_rng(seed), []
+    langs = len({lang for lang, _ in spans})
+    for k in range(0, len(spans), max(1, langs)):
+        words = spans[k][1]
+        if luck.random() < 0.4:
+            out.append((OTHER, ["".join(luck.permutation(list(w))) for w in words]))
+        else:
+            at, size = BLOCKS[int(luck.integers(len(BLOCKS)))]
+            out.append((OTHER, ["".join(chr(at + int(c)) for c in luck.integers(0, size, max(1, len(w)))) for w in words]))
+    return out
+
+
 class _Words(dict):
     """Numbers words as they come; new ones wait for their scores. A word without a letter is -1."""
 
@@ -209,29 +235,33 @@ class _Words(dict):
         return self.n - 1
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, runs: bool = False) -> DataFrame:
     """The ``keep`` columns (all), ``lang_pred`` and ``score``, its mean posterior over the text's words.
 
-    Whole texts of any length; ties go to the first language in alphabetical order. Null texts and those without a letter,
-    and all texts under a model that knows no language, are ``und`` with score 0. Rows pass one by one, repeated rows too.
+    With ``runs`` also the words' own labels: an array of (lang, first, words), the runs of neighbouring words whose best
+    label is the same, so that code-switched text comes apart. Whole texts of any length; ties go to the first language in
+    alphabetical order. Null texts and those without a letter, and all texts under a model that knows no language, are
+    ``und`` with score 0 and no runs; words in no language, where the model knows such, are ``und`` with their score. Rows
+    pass one by one, repeated rows too.
     """
 
     def work():
         state = {"words": _Words(), "scores": np.zeros((0, len(model.langs)), np.float32)}
 
-        def label(rows: list[np.ndarray]) -> list[tuple[str, float]]:
+        def label(rows: list[np.ndarray]) -> list[tuple[str, float, list[dict]]]:
             words = state["words"]
             if words.waiting:
                 state["scores"] = np.concatenate([state["scores"], model.emissions(words.waiting)])
                 words.waiting = []
             sizes = np.array([len(r) for r in rows])
             real = np.flatnonzero(sizes)
-            out = [(UNKNOWN, 0.0)] * len(rows)
+            out = [(UNKNOWN, 0.0, [])] * len(rows)
             if len(real):
                 gamma, _ = posteriors(state["scores"][np.concatenate([rows[k] for k in real])], sizes[real], model.moves, model.first)
-                mean = np.add.reduceat(gamma, np.cumsum(sizes[real]) - sizes[real], 0) / sizes[real][:, None]
-                for k, best, p in zip(real, mean.argmax(1), mean.max(1)):
-                    out[k] = (model.langs[best], min(1.0, float(p)))
+                starts = np.cumsum(sizes[real]) - sizes[real]
+                mean = np.add.reduceat(gamma, starts, 0) / sizes[real][:, None]
+                for k, best, p, start in zip(real, mean.argmax(1), mean.max(1), starts):
+                    out[k] = (model.name(best), min(1.0, float(p)), _runs(model, gamma[start : start + sizes[k]].argmax(1)) if runs else [])
             if len(words) > KEPT_WORDS:
                 state["words"], state["scores"] = _Words(), state["scores"][:0]
             return out
@@ -248,11 +278,17 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                     rows, size = [], 0
             if rows:
                 found += label(rows)
-            return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("words", pa.int64())]))
+            return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *([pa.array([f[2] for f in found], kind)] if runs else [])]
 
         return each
 
-    return add_columns(df, FIELDS, work, [text], df.columns if keep is None else keep)
+    return add_columns(df, FIELDS + [RUNS] * runs, work, [text], df.columns if keep is None else keep)
+
+
+def _runs(model: Model, labels: np.ndarray) -> list[dict]:
+    starts = np.append(0, np.flatnonzero(np.diff(labels)) + 1)
+    return [{"lang": model.name(labels[a]), "first": a, "words": n} for a, n in zip(starts.tolist(), np.diff(np.append(starts, len(labels))).tolist())]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -260,7 +296,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(df: DataFrame, per_lang: int = 800) -> Model:
-    """A model from the rows of ``df`` (doc_id, text, lang) that aren't held out."""
+def train(df: DataFrame, per_lang: int = 800, other: bool = False) -> Model:
+    """A model from the rows of ``df`` (doc_id, text, lang) that aren't held out; with ``other`` it knows words in no language."""
     pick = F.expr("crc32(CAST(concat('pick ', coalesce(CAST(doc_id AS STRING), '')) AS BINARY))")
-    return fit(training_spans(df.where(~held_out()).select("text", F.col("lang"), pick.alias("pick")), per_lang))
+    spans = training_spans(df.where(~held_out()).select("text", F.col("lang"), pick.alias("pick")), per_lang)
+    if not other or not spans:
+        return fit(spans)
+    every = spans + made_up(spans)
+    return fit([every[k] for k in np.random.default_rng(2).permutation(len(every))])
