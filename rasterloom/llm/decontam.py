@@ -30,12 +30,14 @@ EDITS, WALK_WORDS = 0.2, 8
 STEPS, SAMPLES, STRIDE = 10, 6, 2
 #: Repetitions by the most words that an item has. By measurement (tests/llm/test_decontam_recall.py) they find at least
 #: RECALL of the leaks at exactly the radius, of each length and each kind of edit.
-RECALL, REPEATS = 0.95, ((11, 24), (19, 12), (math.inf, 6))
+RECALL, REPEATS = 0.95, ((11, 24), (19, 8), (math.inf, 5))
 #: Items sent to the workers at once; more are searched block by block.
 BLOCK_ITEMS = 10_000
 #: Bytes of text taken at once (a longer text by itself).
 BATCH_BYTES = 2 << 20
 PRIME = 0x9E3779B97F4A7C15
+#: First bits of a hash that tables go by.
+SLOT_BITS = 18
 LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("item_words", T.IntegerType()), T.StructField("end_word", T.IntegerType())]))
 _ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
@@ -73,6 +75,10 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes * np.uint64(0xD6E8FEB86659FD93), first
 
 
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(PRIME)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def repetitions(words: int) -> int:
     return next(n for most, n in REPEATS if words <= most)
 
@@ -85,8 +91,11 @@ class Items:
         self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
         n = len(self.vocabulary)
         self.none, self.past = n, n + 1  # a word of no item; past the end
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
+        slots = (self.vocabulary >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        #: By the first bits of a word's hash: its symbol, or ``past`` where several words of items have them.
+        self.slots = np.full(1 << SLOT_BITS, self.none, np.int32)
+        self.slots[slots] = np.arange(n)
+        self.slots[slots[1:][slots[1:] == slots[:-1]]] = self.past
         self.words = [symbols[a:b].astype(np.int32) for a, b in zip(first, first[1:])]
         self.ids = [i for i, _ in items]
         self.masks: dict[int, dict[int, int]] = {}
@@ -108,7 +117,12 @@ class Items:
                 table[key].append(place)
             first_words = np.zeros(n + 2, bool)
             first_words[rows[keys[0]]] = True
-            self.walks.append((bits, sampled, first_words, [np.unique(level) for level in keys[1:]], dict(table)))
+            levels = []
+            for level in keys[1:]:
+                maybe = np.zeros(1 << SLOT_BITS, bool)
+                maybe[_slot(level)] = True
+                levels.append((maybe, np.unique(level)))
+            self.walks.append((bits, sampled, first_words, levels, dict(table)))
         tables: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, w in enumerate(self.words):
             if 0 < len(w) < WALK_WORDS:
@@ -127,7 +141,7 @@ class Items:
             key = key * np.uint64(0x100000001B3) + symbols[at + k].astype(np.uint64) + np.uint64(1)
         return key
 
-    def walk(self, symbols: np.ndarray, at: np.ndarray, bits: np.ndarray, sampled: list[int], first: np.ndarray | None = None, levels: list[np.ndarray] | None = None):
+    def walk(self, symbols: np.ndarray, at: np.ndarray, bits: np.ndarray, sampled: list[int], first: np.ndarray | None = None, levels: list[tuple[np.ndarray, np.ndarray]] | None = None):
         """Walk from each place ``at``, and hash the sampled steps' words into a key, step by step.
 
         Without ``levels``: the places of the first sampled step and the keys after each. With the items' own first words
@@ -147,9 +161,11 @@ class Items:
                 if levels is None:
                     seen.append(key)
                 else:
-                    own = levels[n]
-                    keep = np.flatnonzero(own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
-                    place, key, live, out = place[keep], key[keep], live[keep], out[keep]
+                    maybe, own = levels[n]
+                    if n:  # the first word alone has been looked up
+                        keep = np.flatnonzero(maybe[_slot(key)])
+                        keep = keep[own[np.minimum(np.searchsorted(own, key[keep]), len(own) - 1)] == key[keep]]
+                        place, key, live, out = place[keep], key[keep], live[keep], out[keep]
             place += (bits[out] >> np.uint64(step)).astype(np.int64) & 1
         return seen if levels is None else (key, live)
 
@@ -188,11 +204,13 @@ class Items:
     def search(self, texts: list[str]) -> list[list[dict]]:
         """For each text, its leaks by item: the fewest edits, the item's words, and the end of the stretch."""
         hashes, first = words_of(texts)
-        known = np.flatnonzero(self.maybe[(hashes >> np.uint64(48)).astype(np.int64)]) if len(hashes) else np.zeros(0, np.int64)
-        symbols = np.full(len(hashes), self.none, np.int32)
-        place = np.minimum(np.searchsorted(self.vocabulary, hashes[known]), max(0, len(self.vocabulary) - 1))
-        found = self.vocabulary[place] == hashes[known] if len(self.vocabulary) else np.zeros(0, bool)
-        symbols[known[found]] = place[found]
+        symbols = self.slots[(hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        known = np.flatnonzero(symbols != self.none)
+        place = symbols[known]
+        shared = place == self.past
+        place[shared] = np.minimum(np.searchsorted(self.vocabulary, hashes[known[shared]]), max(0, len(self.vocabulary) - 1))
+        real = self.vocabulary[place] == hashes[known] if len(known) else np.zeros(0, bool)
+        symbols[known] = np.where(real, place, np.int32(self.none))
         starts, text_of = first[:-1], lambda at: (np.searchsorted(first, at, "right") - 1).tolist()
         pairs: set[tuple[int, int, int]] = set()  # (where the item would begin, item, text)
         padded = np.append(symbols, np.full(STEPS, self.past, np.int32))
