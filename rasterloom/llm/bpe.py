@@ -280,7 +280,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
     places = shared_places(chunk_index(df.select(t0.alias("t0"), t1.alias("t1"), whole), tokenizer))
     # kept columns travel in a struct, so that their names can't clash with those of the work
     rows = df.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in kept]).alias("kept"), t0.alias("t0"), t1.alias("t1"), whole)
-    rows = lookup(rows, places, ["t0", "t1"], "left", 300)
+    rows = lookup(rows, places, ["t0", "t1"], "left", F.lit(64) + 72 * F.size("places"))
 
     def work():
         codec, seen = Codec(tokenizer), set()
@@ -301,7 +301,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
     done = stored(add_columns(rows, first, work, ["text"], ["kept", "t0", "t1", "places"]), "encoded")
     marked = done.where("text IS NOT NULL").select("t0", "t1", "text", "places")
     chunks = encoded_chunks(marked, tokenizer)
-    held = lookup(marked.select("t0", "t1", F.explode("places").alias("p")).select("t0", "t1", "p.*").drop("own").distinct(), chunks, ["h0", "h1"], "inner", 2400)
+    held = lookup(marked.select("t0", "t1", F.explode("places").alias("p")).select("t0", "t1", "p.*").drop("own").distinct(), chunks, ["h0", "h1"], "inner", F.lit(400) + F.length("ids"))
     shape = "t0 long, t1 long, start long, end long, text string, ids binary, byte array<int>, token array<int>"
     none = lambda kind: F.lit(None).cast(kind)
     texts = marked.select("t0", "t1", none("long").alias("start"), none("long").alias("end"), "text", none("binary").alias("ids"), none("array<int>").alias("byte"), none("array<int>").alias("token"))
@@ -311,7 +311,7 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
     names = [f.name for f in fields]
     out = [*[F.col(f"kept.`{c}`") for c in kept], *names]
     direct = done.where("places IS NULL").select(*out)
-    met = lookup(done.where("places IS NOT NULL").select("kept", "t0", "t1"), stored(answers, "answers"), ["t0", "t1"], "inner", 4096 if ids else 300)
+    met = lookup(done.where("places IS NOT NULL").select("kept", "t0", "t1"), stored(answers, "answers"), ["t0", "t1"], "inner", F.lit(300) + (4 * F.col("n_tokens") if ids else 0))
     return direct.unionByName(met.select(*out))
 
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,12 +96,17 @@ def add_columns(
     return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
 
 
-def is_small(df: DataFrame, row_bytes: int) -> bool:
-    """Whether the rows of a stored table, at ``row_bytes`` each as a hash table has them, come to at most BROADCAST_BYTES."""
+def is_small(df: DataFrame, row_bytes: int | Column) -> bool:
+    """Whether the rows of a stored table, at ``row_bytes`` each as a hash table has them, come to at most BROADCAST_BYTES.
+
+    A column gives the bytes row by row, where rows differ in size.
+    """
+    if isinstance(row_bytes, Column):
+        return (df.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES
     most = BROADCAST_BYTES // row_bytes
     return df.limit(most + 1).count() <= most
 
 
-def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
+def lookup(big: DataFrame, table: DataFrame, on: list[str], how: str, row_bytes: int | Column) -> DataFrame:
     """Join with a stored table: broadcast where its counted size allows, else by a shuffle whose skew AQE splits."""
     return big.join(F.broadcast(table) if is_small(table, row_bytes) else table, on, how)

@@ -4,7 +4,7 @@ A fingerprint is 64 bits (or a multiple) of word shingles. Only distinct fingerp
 of about SHARD fingerprints by some of their bits, several times over: either so that any two linked fingerprints share a
 shard for certain (whole blocks of bits, of more blocks than the radius), or with a stated recall (sampled bits). Each shard
 grows BK-trees, whose children are keyed by their integer Hamming distance to the parent. Trees meet the fingerprints of
-their shard by a broadcast while all trees are small, by a shuffle of shards beyond; a search follows only edges within the
+their shard by a broadcast while all trees are small, beyond where the shuffle of shards brought them; a search follows only edges within the
 radius of its distance to the parent. It gives out a spanning forest of its links, never all pairs.
 """
 
@@ -267,13 +267,22 @@ def shard_trees(nodes: DataFrame, dealing: list[tuple[int, ...]]) -> DataFrame:
 
 def linked(nodes: DataFrame, dealing: list[tuple[int, ...]], radius: int) -> DataFrame:
     """(a, b): links that join every two of ``nodes`` (node long, f0 long, ...; distinct fingerprints) that a chain of links
-    within shards joins."""
+    within shards joins.
+
+    While all trees are small they are broadcast to the fingerprints of their shard. Beyond, a shard's fingerprints search
+    its tree where the shuffle of shards has brought both, and only the trees of shards that have several are joined.
+    """
     trees, words = shard_trees(nodes, dealing), len(dealing[0])
     asks = trees.select("by", "block", F.col("sub").alias("asking"), F.col("tree").alias("asks"))
-    held = trees.agg(F.sum(F.length("tree") + 80)).first()[0] or 0
-    trees = trees.select("by", "block", "sub", "tree")
-    met = asks.join(F.broadcast(trees) if held <= common.BROADCAST_BYTES else trees, ["by", "block"]).where("sub <= asking")
-    return met.select("tree", "asks").mapInArrow(_searched(words, radius), "a long, b long")
+    held = F.sum(F.length("tree") + 80)
+    if (trees.agg(held).first()[0] or 0) <= common.BROADCAST_BYTES:
+        met = asks.join(F.broadcast(trees), ["by", "block"]).where("sub <= asking").select("tree", "asks")
+    else:
+        several = stored(trees.where("sub > 0").select("by", "block").distinct(), "split-shards")
+        split = lookup(trees, several, ["by", "block"], "inner", 64)
+        split = F.broadcast(split) if (split.agg(held).first()[0] or 0) <= common.BROADCAST_BYTES else split
+        met = trees.select("tree", F.col("tree").alias("asks")).union(asks.join(split, ["by", "block"]).where("sub < asking").select("tree", "asks"))
+    return met.mapInArrow(_searched(words, radius), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
