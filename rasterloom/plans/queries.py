@@ -146,7 +146,21 @@ def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # clustering
 
 
-def lloyd_sql(steps: int, k: int = 4) -> str:
+def blur_ctes(kernel: int, passes: int) -> str:
+    """CTEs from lb (y, x, label) and sz to the shares of the classes, the last one v and the number of passes."""
+    p = kernel // 2
+    cte = f"bo AS (SELECT unnest(range({-p}, {p + 1})) AS d), ks AS (SELECT DISTINCT label AS k FROM lb), v0 AS (SELECT y, x, k, CAST(label = k AS BIGINT) AS v FROM lb, ks)"
+    for n in range(passes):
+        cte += f""", h{n} AS (SELECT v.y, v.x, v.k, CAST(sum(o.v) AS BIGINT) AS v FROM v{n} v, bo, sz JOIN v{n} o ON o.y = v.y AND o.k = v.k AND o.x = least(greatest(v.x + d, 0), w - 1) GROUP BY 1, 2, 3),
+          v{n + 1} AS (SELECT v.y, v.x, v.k, CAST(sum(o.v) AS BIGINT) AS v FROM h{n} v, bo, sz JOIN h{n} o ON o.x = v.x AND o.k = v.k AND o.y = least(greatest(v.y + d, 0), h - 1) GROUP BY 1, 2, 3)"""
+    return cte
+
+
+def won_sql(passes: int) -> str:
+    return f"SELECT y, x, k AS label FROM v{passes} QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY v DESC, k) = 1"
+
+
+def lloyd_ctes(steps: int, k: int = 4) -> str:
     """The first k blocks in hash order, then unrolled iterations with exact integer sums; ``c`` of the last is the result."""
     fit = f"""ini AS (SELECT f0, f1, f2, min((CAST(blk_y AS BIGINT) * 73856093 + CAST(blk_x AS BIGINT) * 19349663) % 1000003 * 1000000000000 + blk_y * 1000000 + blk_x) AS place FROM bl GROUP BY 1, 2, 3),
       c0 AS (SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS k, f0 AS c0, f1 AS c1, f2 AS c2 FROM ini QUALIFY row_number() OVER (ORDER BY place) <= {k})"""
@@ -154,7 +168,11 @@ def lloyd_sql(steps: int, k: int = 4) -> str:
         fit += f""", a{s} AS (SELECT bl.*, c.k, (f0 - c0) * (f0 - c0) + (f1 - c1) * (f1 - c1) + (f2 - c2) * (f2 - c2) AS d FROM bl, c{s} c
           QUALIFY row_number() OVER (PARTITION BY blk_y, blk_x ORDER BY d, c.k) = 1),
         c{s + 1} AS (SELECT k, {", ".join(f"CAST(CAST(sum(n{i}) AS BIGINT) AS DOUBLE) / CAST(count(*) * {9 * R * R} AS DOUBLE) AS c{i}" for i in range(3))} FROM a{s} GROUP BY k)"""
-    return f"WITH {pool_sql(R)}, {fit} SELECT k, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM c{steps}"
+    return fit
+
+
+def lloyd_sql(steps: int) -> str:
+    return f"WITH {pool_sql(R)}, {lloyd_ctes(steps)} SELECT k, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM c{steps}"
 
 
 def _lloyd(steps: int):
@@ -176,16 +194,28 @@ def brightness_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(cluster.brightness_ranks(MANY))), "k int, rank int")
 
 
-@query()
+@query(f"""WITH {pool_sql(R)}, {lloyd_ctes(cluster.MAX_ITERATIONS)},
+  fc AS (SELECT CAST(row_number() OVER (ORDER BY (c0 + c1 + c2) / 3.0::DOUBLE, k) - 1 AS INTEGER) AS k, c0, c1, c2 FROM c{cluster.MAX_ITERATIONS}),
+  asg AS (SELECT blk_y, blk_x, fc.k AS label FROM bl, fc QUALIFY row_number() OVER (PARTITION BY blk_y, blk_x ORDER BY (f0 - c0) * (f0 - c0) + (f1 - c1) * (f1 - c1) + (f2 - c2) * (f2 - c2), fc.k) = 1),
+  lb AS (SELECT px.y, px.x, asg.label FROM px JOIN asg ON px.y // {R} = asg.blk_y AND px.x // {R} = asg.blk_x), {blur_ctes(5, 1)} {won_sql(1)}""")
 def segment_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted, assigned, upsampled and blurred; the SQL takes every iteration that a fit may have, and as the fit's sample
+    it takes all blocks, which are fewer than the sample's bound up to sf0.1."""
     px, meta = tables.orders_raster(spark, sf_dir)
     return pipeline.segment(px, meta, 4, R, blur=config.BlurConfig(5, 1)).labels
 
 
-@query()
+@query(f"WITH {pool_sql(R)} SELECT blk_y, blk_x, true AS nearest, true AS dark_first FROM bl")
 def ml_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark ML starts at random, so the SQL holds what any start must give: every block has the label of the nearest of the
+    centres, which are in order of brightness."""
     px, meta = tables.orders_raster(spark, sf_dir)
-    return pipeline.segment(px, meta, 4, R, backend="ml").blocks
+    found = pipeline.segment(px, meta, 4, R, backend="ml")
+    blocks = focal.pool(px, meta, R)
+    gaps = F.array(*[sum(((F.col(f"f{n}") - c) * (F.col(f"f{n}") - c) for n, c in enumerate(center)), F.lit(0.0)) for center in found.centers])
+    near = F.element_at(gaps, F.col("label") + 1) <= F.array_min(gaps) + 1e-9
+    means = [sum(c) / len(c) for c in found.centers]
+    return found.blocks.join(blocks, ["blk_y", "blk_x"]).select("blk_y", "blk_x", near.alias("nearest"), F.lit(means == sorted(means)).alias("dark_first"))
 
 
 # sampling
@@ -317,12 +347,7 @@ def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blur_sql(kernel: int, passes: int) -> str:
-    p = kernel // 2
-    cte = f"{LABELS_SQL}, sz AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), off AS (SELECT unnest(range({-p}, {p + 1})) AS d), ks AS (SELECT DISTINCT label AS k FROM lb), v0 AS (SELECT y, x, k, CAST(label = k AS BIGINT) AS v FROM lb, ks)"
-    for n in range(passes):
-        cte += f""", h{n} AS (SELECT v.y, v.x, v.k, CAST(sum(o.v) AS BIGINT) AS v FROM v{n} v, off, sz JOIN v{n} o ON o.y = v.y AND o.k = v.k AND o.x = least(greatest(v.x + d, 0), w - 1) GROUP BY 1, 2, 3),
-          v{n + 1} AS (SELECT v.y, v.x, v.k, CAST(sum(o.v) AS BIGINT) AS v FROM h{n} v, off, sz JOIN h{n} o ON o.x = v.x AND o.k = v.k AND o.y = least(greatest(v.y + d, 0), h - 1) GROUP BY 1, 2, 3)"""
-    return f"WITH {cte} SELECT y, x, k AS label FROM v{passes} QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY v DESC, k) = 1"
+    return f"WITH {LABELS_SQL}, sz AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), {blur_ctes(kernel, passes)} {won_sql(passes)}"
 
 
 def _blur(name: str, kernel: int, passes: int):
@@ -377,13 +402,47 @@ def _bands(image: np.ndarray) -> np.ndarray:
     return (image.mean(0) // 64).astype(np.int64)
 
 
-@query()
+def harmonize_ctes(classes: int = 4) -> str:
+    """From cl (chunk, y, x, b0, b1, b2, label) to hl (chunk, y, x, label): labels matched to running prototypes, one mean a step."""
+    one = lambda value, otherwise: f"list_transform(range(0, {classes}), lambda j: CASE WHEN j = target THEN {value} ELSE {otherwise} END)"
+    mean = "list_transform([1, 2, 3], lambda i: CASE WHEN seen[j + 1] = 0 THEN vec[i] ELSE (known[j + 1][i] * seen[j + 1] + vec[i]) / (seen[j + 1] + 1) END)"
+    return f"""mv AS (SELECT chunk, label, [avg(b0), avg(b1), avg(b2)] AS vec FROM cl GROUP BY 1, 2),
+      it AS (SELECT *, row_number() OVER (ORDER BY chunk, label) AS n FROM mv),
+      rc AS (WITH RECURSIVE st AS (
+        SELECT CAST(0 AS BIGINT) AS n, -1 AS chunk, -1 AS label, list_transform(range(0, {classes}), lambda j: CAST(0 AS BIGINT)) AS seen, list_transform(range(0, {classes}), lambda j: [0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS known, CAST([] AS BIGINT[]) AS used, CAST(-1 AS BIGINT) AS target
+        UNION ALL
+        SELECT n, chunk, label, {one("seen[j + 1] + 1", "seen[j + 1]")}, {one(mean, "known[j + 1]")}, list_append(used, target), target FROM (
+          SELECT *, coalesce(CASE WHEN list_min(gaps) <= {blend.PALETTE} THEN list_position(gaps, list_min(gaps)) - 1 END,
+            list_filter(range(0, {classes}), lambda j: NOT list_contains(used, j) AND seen[j + 1] = 0)[1], list_filter(range(0, {classes}), lambda j: NOT list_contains(used, j))[1]) AS target FROM (
+          SELECT *, list_transform(range(0, {classes}), lambda j: CASE WHEN seen[j + 1] > 0 AND NOT list_contains(used, j) THEN sqrt((known[j + 1][1] - vec[1]) ** 2 + (known[j + 1][2] - vec[2]) ** 2 + (known[j + 1][3] - vec[3]) ** 2) END) AS gaps FROM (
+          SELECT it.n, it.chunk, it.label, it.vec, seen, known, CASE WHEN it.chunk = st.chunk THEN used ELSE CAST([] AS BIGINT[]) END AS used FROM st JOIN it ON it.n = st.n + 1))))
+        SELECT chunk, label, target FROM st WHERE n > 0),
+      hl AS (SELECT cl.chunk, y, x, CAST(target AS INTEGER) AS label FROM cl JOIN rc USING (chunk, label))"""
+
+
+def _gauss_ctes(sigma: float, radius: int, values: tuple[str, ...], keys: str = "k") -> str:
+    """From bs (y, x, k, values) to gb, both axes blurred with mirrored ends."""
+    sums = lambda of: ", ".join(f"sum(o.{v} * g) AS {v}" for v in values)
+    return f"""rw AS (SELECT d, exp(-(d * d) / ({2 * sigma * sigma})::DOUBLE) AS g FROM (SELECT unnest(range({-radius}, {radius + 1})) AS d)), wt AS (SELECT d, g / (SELECT sum(g) FROM rw) AS g FROM rw),
+      ga AS (SELECT v.y, v.x, v.{keys}, {sums("o")} FROM bs v, wt, sz JOIN bs o ON o.y = v.y AND o.{keys} = v.{keys} AND o.x = {_mirror("v.x + d", "w")} GROUP BY 1, 2, 3),
+      gb AS (SELECT v.y, v.x, v.{keys}, {sums("o")} FROM ga v, wt, sz JOIN ga o ON o.x = v.x AND o.{keys} = v.{keys} AND o.y = {_mirror("v.y + d", "h")} GROUP BY 1, 2, 3)"""
+
+
+HANN40 = "(0.5 - 0.5 * cos(2 * pi() * ({i}) / 39))"
+
+
+@query(f"""WITH {SIZE_SQL}, {windows_sql(40, 30)}, cl AS (SELECT chunk, y, x, b0, b1, b2, CAST(floor((b0 + b1 + b2) / 3.0::DOUBLE / 64) AS INTEGER) AS label FROM px JOIN win ON y >= y0 AND y < y1 AND x >= x0 AND x < x1),
+  {harmonize_ctes()}, t AS (SELECT max({HANN40.format(i="i")}) AS t FROM (SELECT unnest(range(40)) AS i)),
+  c AS (SELECT y, x, label, {HANN40.format(i="y - y0")} * {HANN40.format(i="x - x0")} / (t * t) AS m FROM hl JOIN win USING (chunk), t), k AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS k),
+  bs AS (SELECT y, x, k, sum(CASE WHEN label = k THEN m ELSE 0 END) AS score, sum(m) AS weight FROM c, k GROUP BY 1, 2, 3), {_gauss_ctes(4.0, 12, ("score", "weight"))}
+  SELECT y, x, k AS label FROM gb QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY round(score / greatest(weight, 1e-6), 9) DESC, k) = 1""")
 def chunk_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, meta = tables.orders_raster(spark, sf_dir)
     return blend.process_in_chunks(px, meta, 40, 30, 4, _bands)
 
 
-@query()
+@query(f"""WITH {SIZE_SQL}, {windows_sql(40, 30)}, cl AS (SELECT chunk, y, x, b0, b1, b2, CAST((b0 // 64 + chunk) % 4 AS INTEGER) AS label FROM px JOIN win ON y >= y0 AND y < y1 AND x >= x0 AND x < x1),
+  {harmonize_ctes()} SELECT chunk, y, x, label FROM hl""")
 def harmonize(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, meta = tables.orders_raster(spark, sf_dir)
     chunked = grid.in_windows(px, grid.chunk_windows(spark, meta.height, meta.width, 40, 30), 40).withColumn("label", F.expr("CAST((b0 div 64 + chunk) % 4 AS INT)"))
@@ -439,7 +498,46 @@ _refine(1)
 _refine(2)
 
 
-@query()
+def _apart(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+
+
+def refine_ctes(tag: str, source: str, neighbours: int = 12, passes: int = 2, centers: list | None = None) -> str:
+    """CTEs from ``source`` (y, x, h, w, label, vec) to fin<tag> (y, x, label); centres are numbers, or the CTE ctr (k, vec)."""
+    each = f"SELECT * FROM (VALUES {', '.join(f'({k}, {[float(v) for v in c]}::DOUBLE[])' for k, c in enumerate(centers))}) v(k, vec)" if centers else "SELECT k, vec FROM ctr"
+    line = lambda c, n: f"(CASE WHEN {n} <= 1 THEN -1.0::DOUBLE ELSE -1.0::DOUBLE + 2.0::DOUBLE * {c} / ({n} - 1) END) * 0.08::DOUBLE"
+    cte = f"""cc{tag} AS ({each}), ce{tag} AS (SELECT y * w + x AS id, y, x, h, w, label, list_transform(vec, lambda v: v::DOUBLE) AS vec FROM {source}),
+      lg{tag} AS (SELECT id, c.k, label, -{_apart("e.vec", "c.vec")} / 2.0::DOUBLE AS lg FROM ce{tag} e, cc{tag} c),
+      ex{tag} AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY id)) AS e FROM lg{tag}),
+      p{tag}_0 AS (SELECT id, k, 0.5::DOUBLE * e / greatest(sum(e) OVER (PARTITION BY id), 1e-8) + 0.5::DOUBLE * CAST(label = k AS INTEGER) AS p FROM ex{tag}),
+      pl{tag} AS (SELECT id, list_concat(vec, [{line("y", "h")}, {line("x", "w")}]) AS v FROM ce{tag}),
+      ed{tag} AS (SELECT q.id, r.id AS nb, {_apart("q.v", "r.v")} AS d FROM pl{tag} q, pl{tag} r QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY d, nb) <= {neighbours})"""
+    for n in range(passes):
+        cte += f""", m{tag}_{n} AS (SELECT e.id, k, avg(p) AS p FROM ed{tag} e JOIN p{tag}_{n} o ON o.id = e.nb GROUP BY 1, 2),
+          p{tag}_{n + 1} AS (SELECT o.id, o.k, 0.35::DOUBLE * o.p + 0.65::DOUBLE * m.p AS p FROM p{tag}_{n} o JOIN m{tag}_{n} m USING (id, k))"""
+    return cte + f", fin{tag} AS (SELECT y, x, CAST(arg_min(k, (-p, k)) AS INTEGER) AS label FROM p{tag}_{passes} JOIN ce{tag} USING (id) GROUP BY 1, 2)"
+
+
+def coarser_ctes(tag: str, scale: int) -> str:
+    """CTEs from vs (y, x, vec), sz and lb<tag> to sm<tag>: vectors resized bilinearly by ``scale``, labels by the nearest."""
+    at = lambda c, small, big: f"greatest(0.0::DOUBLE, ({c} + 0.5::DOUBLE) * (CAST({small} AS DOUBLE) / {big}) - 0.5)"
+    pick = lambda y, x: f"JOIN vs v{y}{x} ON v{y}{x}.y = {'least(y0 + 1, h - 1)' if y else 'y0'} AND v{y}{x}.x = {'least(x0 + 1, w - 1)' if x else 'x0'}"
+    mixed = "list_transform(range(1, len(v00.vec) + 1), lambda i: (1 - fy) * (1 - fx) * v00.vec[i] + (1 - fy) * fx * v01.vec[i] + fy * (1 - fx) * v10.vec[i] + fy * fx * v11.vec[i])"
+    return f"""sg{tag} AS (SELECT h, w, greatest(1, h // {scale}) AS nh, greatest(1, w // {scale}) AS nw FROM sz),
+      gr{tag} AS (SELECT *, {at("y", "h", "nh")} AS sy, {at("x", "w", "nw")} AS sx FROM (SELECT unnest(range(nh)) AS y, h, w, nh, nw FROM sg{tag}) JOIN (SELECT unnest(range(nw)) AS x FROM sg{tag}) ON true),
+      co{tag} AS (SELECT *, sy - y0 AS fy, sx - x0 AS fx FROM (SELECT *, least(CAST(floor(sy) AS INTEGER), h - 1) AS y0, least(CAST(floor(sx) AS INTEGER), w - 1) AS x0 FROM gr{tag})),
+      sm{tag} AS (SELECT g.y, g.x, nh AS h, nw AS w, l.label, {mixed} AS vec FROM co{tag} g {pick(0, 0)} {pick(0, 1)} {pick(1, 0)} {pick(1, 1)} JOIN lb{tag} l ON l.y = g.y * h // nh AND l.x = g.x * w // nw)"""
+
+
+def finer_cte(tag: str, to: str) -> str:
+    """CTE lb<to>: the labels of fin<tag> on the whole grid."""
+    return f"lb{to} AS (SELECT v.y, v.x, f.label FROM vs v, sg{tag} s JOIN fin{tag} f ON f.y = v.y * nh // h AND f.x = v.x * nw // w)"
+
+
+@query(f"""WITH sz AS (SELECT max(vec_id // {tables.LATENT}) + 1 AS h, {tables.LATENT} AS w FROM embeddings),
+  vs AS (SELECT vec_id // {tables.LATENT} AS y, vec_id % {tables.LATENT} AS x, list_transform(embedding, lambda v: v::DOUBLE) AS vec FROM embeddings), lba AS (SELECT vec_id // {tables.LATENT} AS y, vec_id % {tables.LATENT} AS x, label % 4 AS label FROM embeddings),
+  {coarser_ctes("a", 4)}, {refine_ctes("a", "sma", centers=LATENT_CENTERS)}, {finer_cte("a", "b")}, {coarser_ctes("b", 2)}, {refine_ctes("b", "smb", centers=LATENT_CENTERS)}, {finer_cte("b", "c")},
+  fu AS (SELECT vs.y, vs.x, h, w, label, vec FROM vs JOIN lbc USING (y, x), sz), {refine_ctes("c", "fu", centers=LATENT_CENTERS)} SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, label FROM finc""")
 def refine_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, meta = tables.latent_cells(spark, sf_dir)
     return refine.refine(cells, meta, LATENT_CENTERS, {"hierarchy_factor": 2, "hierarchy_passes": 3, "neighbors": None}).select("y", "x", "label")
@@ -490,12 +588,53 @@ def rotate_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.turn_tiles(px.select("y", "x", "b0"), plan, 16, meta)
 
 
-@query()
+def orient_ctes(t: int) -> str:
+    """From lb (y, x, label) and sz to tn (ty, tx, turns): tiles turned in order, the state being the turned ends of the
+    tiles before, the row above and the column before."""
+    cell = lambda k: {0: "c[i * n + j + 1]", 1: "c[j * n + n - i]", 2: "c[(n - 1 - i) * n + n - j]", 3: "c[(n - 1 - j) * n + i + 1]"}[k]
+    line = lambda k, i, j: f"list_transform(range(0, n), lambda q: {cell(k).replace('i', '(' + i + ')').replace('j', '(' + j + ')')})"
+    turned = lambda name, i, j: f"{', '.join(f'{line(k, i, j)} AS {name}{k}' for k in range(4))}"
+    even = lambda a, b: f"len(list_filter(range(1, n + 1), lambda q: {a}[q] = {b}[q])) / n::DOUBLE"
+    score = lambda k: f"(CASE WHEN ty > 0 THEN {even(f'top{k}', 'up')} ELSE 0 END + CASE WHEN tx > 0 THEN {even(f'lef{k}', 'bef')} ELSE 0 END)"
+    return f"""tl AS (SELECT y // {t} AS ty, x // {t} AS tx, list(label ORDER BY y, x) AS c, max(y % {t}) + 1 AS n, max(x % {t}) + 1 AS nx FROM lb GROUP BY 1, 2),
+      te AS (SELECT ty, tx, n, nx, c, row_number() OVER (ORDER BY ty, tx) AS place, {turned("top", "0", "q")}, {turned("lef", "q", "0")}, {turned("bot", "n - 1", "q")}, {turned("rig", "q", "n - 1")} FROM tl WHERE n = nx),
+      tb AS (SELECT tl.ty, tl.tx, tl.n, tl.nx, tl.n = tl.nx AS square, row_number() OVER (ORDER BY tl.ty, tl.tx) AS place, te.* EXCLUDE (ty, tx, n, nx, place),
+        list_transform(range(0, tl.nx), lambda q: tl.c[(tl.n - 1) * tl.nx + q + 1]) AS bott, list_transform(range(0, tl.n), lambda q: tl.c[q * tl.nx + tl.nx]) AS rigt FROM tl LEFT JOIN te USING (ty, tx)),
+      tn AS (WITH RECURSIVE st AS (
+        SELECT CAST(0 AS BIGINT) AS place, CAST(-1 AS BIGINT) AS ty, CAST(-1 AS BIGINT) AS tx, 0 AS turns, MAP {{}}::MAP(BIGINT, INTEGER[]) AS above, CAST([] AS INTEGER[]) AS before
+        UNION ALL
+        SELECT place, ty, tx, turns, map_from_entries(list_concat(list_filter(map_entries(above), lambda e: e.key <> tx), [{{'key': tx, 'value': CASE turns WHEN 1 THEN bot1 WHEN 2 THEN bot2 WHEN 3 THEN bot3 ELSE bott END}}])),
+          CASE turns WHEN 1 THEN rig1 WHEN 2 THEN rig2 WHEN 3 THEN rig3 ELSE rigt END FROM (
+          SELECT *, CASE WHEN NOT square OR {t} = 1 THEN 0 ELSE (SELECT CASE WHEN b > 0 AND s[b + 1] >= {tiles.ALIGNED} AND s[b + 1] - s[1] >= {tiles.BETTER} THEN b ELSE 0 END FROM (SELECT s, list_reduce([1, 2, 3], lambda a, k: CASE WHEN s[k + 1] > s[a + 1] + 1e-6 THEN k ELSE a END, 0) AS b)) END AS turns FROM (
+          SELECT *, CASE WHEN square THEN [{', '.join(score(k) for k in range(4))}] END AS s FROM (
+          SELECT tb.*, above, above[tb.tx] AS up, before AS bef FROM st JOIN tb ON tb.place = st.place + 1))))
+        SELECT CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, turns FROM st WHERE place > 0)"""
+
+
+def turned_sql(t: int, of: str = "lb") -> str:
+    return f"""SELECT CAST(ty * {t} + CASE k WHEN 1 THEN l - j WHEN 2 THEN l - i WHEN 3 THEN j ELSE i END AS INTEGER) AS y, CAST(tx * {t} + CASE k WHEN 1 THEN i WHEN 2 THEN l - j WHEN 3 THEN l - i ELSE j END AS INTEGER) AS x, label
+      FROM (SELECT b.y // {t} AS ty, b.x // {t} AS tx, b.y % {t} AS i, b.x % {t} AS j, label, turns AS k, least({t}, h - b.y // {t} * {t}) - 1 AS l FROM {of} b, sz JOIN tn ON tn.ty = b.y // {t} AND tn.tx = b.x // {t})"""
+
+
+@query(f"WITH {LABELS_SQL}, sz AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), {orient_ctes(4)} {turned_sql(4)}")
 def auto_orient(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, meta = _labels(spark, sf_dir)
     return tiles.turn_tiles(labels, tiles.orientation_plan(labels, 4, meta), 4, meta)
 
 
+def settling_ctes(k: int = 4) -> str:
+    """From bl (blk_y, blk_x, f0, f1, f2) to ctr (k, vec), darkest first: iterations until no centre moves by more than the
+    tolerance; once that is so, the later ones change nothing."""
+    cte = f"""ini AS (SELECT f0, f1, f2, min((blk_y * 73856093 + blk_x * 19349663) % 1000003 * 1000000000000 + blk_y * 1000000 + blk_x) AS place FROM bl GROUP BY 1, 2, 3),
+      c0 AS (SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INTEGER) AS k, f0 AS c0, f1 AS c1, f2 AS c2, false AS still FROM ini QUALIFY row_number() OVER (ORDER BY place) <= {k})"""
+    for n in range(cluster.MAX_ITERATIONS):
+        cte += f""", a{n} AS (SELECT bl.*, c.k FROM bl, c{n} c QUALIFY row_number() OVER (PARTITION BY blk_y, blk_x ORDER BY (f0 - c0) ** 2 + (f1 - c1) ** 2 + (f2 - c2) ** 2, c.k) = 1),
+          g{n} AS (SELECT k, avg(f0) AS m0, avg(f1) AS m1, avg(f2) AS m2 FROM a{n} GROUP BY k),
+          c{n + 1} AS (SELECT k, CASE WHEN still THEN c0 ELSE m0 END AS c0, CASE WHEN still THEN c1 ELSE m1 END AS c1, CASE WHEN still THEN c2 ELSE m2 END AS c2,
+            still OR max(sqrt((m0 - c0) ** 2 + (m1 - c1) ** 2 + (m2 - c2) ** 2)) OVER () <= {cluster.TOLERANCE} AS still FROM c{n} JOIN g{n} USING (k))"""
+    return cte + f", ctr AS (SELECT CAST(row_number() OVER (ORDER BY (c0 + c1 + c2) / 3, k) - 1 AS INTEGER) AS k, [c0, c1, c2] AS vec FROM c{cluster.MAX_ITERATIONS})"
+
+
 class MeanModel:
     """Stands for a network: each quarter of a tile's side gives a cell with the bands' means."""
 
@@ -504,7 +643,12 @@ class MeanModel:
         return None, x.reshape(n, c, 4, h // 4, 4, w // 4).mean((3, 5))
 
 
-@query()
+@query(f"""WITH {SIZE_SQL}, cz AS (SELECT (h + 15) // 16 * 4 AS ch, (w + 15) // 16 * 4 AS cw FROM sz),
+  bl AS (SELECT q.y AS blk_y, q.x AS blk_x, coalesce(f0, 0) AS f0, coalesce(f1, 0) AS f1, coalesce(f2, 0) AS f2 FROM (SELECT a.y, b.x FROM (SELECT unnest(range(ch)) AS y FROM cz) a, (SELECT unnest(range(cw)) AS x FROM cz) b) q
+    LEFT JOIN (SELECT y // 4 AS y, x // 4 AS x, {", ".join(f"CAST(sum(b{n}) AS BIGINT) / 4080.0::DOUBLE AS f{n}" for n in range(3))} FROM px GROUP BY 1, 2) m USING (y, x)),
+  {settling_ctes()}, sd AS (SELECT blk_y AS y, blk_x AS x, ch AS h, cw AS w, c.k AS label, [f0, f1, f2] AS vec FROM bl, cz, ctr c
+    QUALIFY row_number() OVER (PARTITION BY blk_y, blk_x ORDER BY (f0 - c.vec[1]) ** 2 + (f1 - c.vec[2]) ** 2 + (f2 - c.vec[3]) ** 2, c.k) = 1),
+  {refine_ctes("r", "sd", 6)}, lb AS (SELECT px.y, px.x, label FROM px JOIN finr f ON f.y = px.y // 4 AND f.x = px.x // 4), {orient_ctes(16)} {turned_sql(16)}""")
 def latent_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, meta = tables.orders_raster(spark, sf_dir)
     return pipeline.segment_latent(px, meta, MeanModel, 3, 4, 16, config={"neighbors": 6}).labels
@@ -550,15 +694,30 @@ def rendering_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.rendering_candidate(rows.where(~layers.is_file_raster())).select("layer_id", "name")
 
 
-@query("""WITH e AS (SELECT 'S' || s_suppkey AS layer_id, s_suppkey * 0.5 AS xmin, s_suppkey * 0.25 AS ymin, s_suppkey + 10.5 AS xmax, s_suppkey + 20.0 AS ymax, CASE WHEN s_suppkey % 3 = 0 THEN 'EPSG:' || (4326 + s_suppkey % 2) WHEN s_suppkey % 3 = 1 THEN '' END AS crs FROM supplier),
-  t AS (SELECT *, concat_ws(',', xmin::DOUBLE::VARCHAR, xmax::DOUBLE::VARCHAR, ymin::DOUBLE::VARCHAR, ymax::DOUBLE::VARCHAR) AS p FROM e)
+#: By the supplier's key: small numbers, metres of a web map, small degrees, and numbers beyond decimal notation.
+_SCALES = "CASE s_suppkey % 5 WHEN 1 THEN -13627665.27::DOUBLE WHEN 2 THEN 0.0001::DOUBLE WHEN 3 THEN 1e17::DOUBLE WHEN 4 THEN 0.000003::DOUBLE ELSE 0.5::DOUBLE END"
+
+
+@query(f"""WITH e AS (SELECT 'S' || s_suppkey AS layer_id, s_suppkey::DOUBLE * {_SCALES} AS xmin, s_suppkey::DOUBLE * 0.25::DOUBLE AS ymin, s_suppkey + 10.5::DOUBLE AS xmax, (s_suppkey + 20) * 12345.678::DOUBLE AS ymax, CASE WHEN s_suppkey % 3 = 0 THEN 'EPSG:' || (4326 + s_suppkey % 2) WHEN s_suppkey % 3 = 1 THEN '' END AS crs FROM supplier),
+  t AS (SELECT *, concat_ws(',', xmin::VARCHAR, xmax::VARCHAR, ymin::VARCHAR, ymax::VARCHAR) AS p FROM e)
   SELECT layer_id, CASE WHEN length(coalesce(crs, '')) > 0 THEN p || ' [' || crs || ']' ELSE p END AS extent, layer_id AS layers, 1.0::DOUBLE AS map_units_per_pixel, '' AS output FROM t""")
 def extent_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    rows = tables.read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), key).alias("layer_id"), (key * 0.5).alias("xmin"), (key * 0.25).alias("ymin"), (key + 10.5).alias("xmax"), (key + 20.0).alias("ymax"), F.when(key % 3 == 0, F.concat(F.lit("EPSG:"), 4326 + key % 2)).when(key % 3 == 1, F.lit("")).alias("crs"))
+    key, scale = F.col("s_suppkey"), F.expr(_SCALES.replace("::DOUBLE", "D"))
+    rows = tables.read(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), key).alias("layer_id"), (key * scale).alias("xmin"), (key * 0.25).alias("ymin"), (key + 10.5).alias("xmax"), ((key + 20) * 12345.678).alias("ymax"), F.when(key % 3 == 0, F.concat(F.lit("EPSG:"), 4326 + key % 2)).when(key % 3 == 1, F.lit("")).alias("crs"))
     return layers.render_params(rows).withColumn("layers", F.concat_ws(",", "layers"))
 
 
+@query(f"""WITH {LAYERS_SQL} SELECT * FROM (SELECT 'id' AS asked, layer_id, name FROM ly WHERE layer_id = 'L7' UNION ALL (SELECT 'name', layer_id, name FROM ly WHERE name = (SELECT min(c_name) FROM customer) ORDER BY layer_id LIMIT 1) UNION ALL SELECT 'neither', layer_id, name FROM ly WHERE layer_id = 'no such')""")
+def find_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _layers(spark, sf_dir)
+    name = tables.read(spark, sf_dir, "customer").agg(F.min("c_name")).first()[0]
+    found = {"id": layers.find_layer(rows, layer_id="L7"), "name": layers.find_layer(rows, name=name), "neither": layers.find_layer(rows, layer_id="no such")}
+    first, *rest = [df.select(F.lit(asked).alias("asked"), "layer_id", "name") for asked, df in found.items()]
+    for df in rest:
+        first = first.unionByName(df)
+    return first
+
+
 LOG_SQL = """lg AS (SELECT event_id AS seq, user_id AS run, CASE event_id % 3 WHEN 0 THEN 'general' WHEN 1 THEN 'worker' ELSE 'debug' END AS category,
   CASE event_id % 8 WHEN 0 THEN 'Prepare input ' || (event_id % 130) || ' %' WHEN 1 THEN 'Step ' || (event_id % 7) || ' / ' || (event_id % 9) || ' of kNN' WHEN 2 THEN 'Smoothing ' || (event_id % 101) || '% done'
     WHEN 3 THEN 'no number here' WHEN 4 THEN 'Chunk plan step ' || (event_id % 5) || '/4' WHEN 5 THEN 'Rendering 99%' WHEN 6 THEN 'queue 3%' ELSE 'chunk ' || (event_id % 11) || '/11 (' || (event_id % 100) || '%)' END AS message FROM events),
