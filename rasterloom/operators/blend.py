@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import RasterMeta, bands_of, grid
+from ..store import settled
 from .focal import gaussian_blur, weight_mask
 from .grid import chunk_windows, in_windows
 
 #: Colour distance within which a chunk's label takes over a known prototype (fixed value).
 PALETTE = 24.0
+#: Rows (chunk, label, target) that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def weighted_scores(chunked: DataFrame, size: int, classes: int) -> DataFrame:
@@ -81,7 +84,9 @@ def harmonize(chunked: DataFrame, classes: int) -> DataFrame:
     """``chunked`` (chunk, y, x, bands, label) with labels that mean the same in every chunk."""
     bands = bands_of(chunked)
     means = chunked.groupBy("chunk", "label").agg(F.array(*[F.avg(b) for b in bands]).alias("vec"))
-    return chunked.join(F.broadcast(match_labels(means, classes)) if classes <= 256 else match_labels(means, classes), ["chunk", "label"]).withColumn("label", F.col("target")).drop("target")
+    matched = settled(match_labels(means, classes))  # counted before it is broadcast: it grows with the number of chunks
+    small = matched.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return chunked.join(F.broadcast(matched) if small else matched, ["chunk", "label"]).withColumn("label", F.col("target")).drop("target")
 
 
 def process_in_chunks(pixels: DataFrame, meta: RasterMeta, size: int, stride: int, classes: int, infer: Callable[[np.ndarray], np.ndarray], harmonized: bool = True, scale: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,10 +37,11 @@ def chunk_starts(df: DataFrame, length: str = "length", size: str = "size", stri
 
 def chunk_windows(spark: SparkSession, height: int, width: int, size: int, stride: int, size_x: int | None = None, stride_x: int | None = None) -> DataFrame:
     """(chunk, y0, x0, y1, x1): windows numbered row by row. ``size_x`` and ``stride_x`` where the x axis has its own."""
-    axis = lambda length, s, step: F.explode(F.expr(starts_along(str(length), str(s), str(step))))
+    axis = lambda length, s, step: F.expr(starts_along(str(length), str(s), str(step)))
     size_x, stride_x = size_x or size, stride_x or stride
-    both = spark.range(1).select(axis(height, size, stride).alias("y0")).select("y0", axis(width, size_x, stride_x).alias("x0"))
-    number = F.row_number().over(Window.orderBy("y0", "x0")) - 1  # as many rows as windows
+    rows = spark.range(1).select(F.posexplode(axis(height, size, stride)).alias("row", "y0"), axis(width, size_x, stride_x).alias("xs"))
+    both = rows.select("row", "y0", F.size("xs").alias("columns"), F.posexplode("xs").alias("column", "x0"))
+    number = F.col("row") * F.col("columns") + F.col("column")
     return both.select(number.alias("chunk"), "y0", "x0", F.least(F.col("y0") + size, F.lit(height)).alias("y1"), F.least(F.col("x0") + size_x, F.lit(width)).alias("x1"))
 
 

@@ -34,16 +34,20 @@ def untile(tiles: DataFrame, t: int, meta: RasterMeta, keys: list[str] | None =
     return cut.where(f"y < {meta.height} AND x < {meta.width}")
 
 
-def choose_turn(cells: np.ndarray, above: np.ndarray | None, before: np.ndarray | None) -> int:
-    """Quarter turns that line a square tile up with the row above and the column before it."""
+def turned_edges(edges: tuple, turns: int) -> tuple:
+    """(top, left, bottom, right) of a tile after quarter turns against the clock; rows run right and columns down."""
+    for _ in range(turns):
+        top, left, bottom, right = edges
+        edges = (right, top[::-1], left, bottom[::-1])
+    return edges
+
+
+def choose_turn(edges: tuple, above: np.ndarray | None, before: np.ndarray | None) -> int:
+    """Quarter turns that line a square tile up, by its edges, with the row above and the column before it."""
     scores = []
     for k in range(4):
-        turned, score = np.rot90(cells, k), 0.0
-        if above is not None:
-            score += float((turned[0] == above).mean())
-        if before is not None:
-            score += float((turned[:, 0] == before).mean())
-        scores.append(score)
+        top, left, _, _ = turned_edges(edges, k)
+        scores.append((float((top == above).mean()) if above is not None else 0.0) + (float((left == before).mean()) if before is not None else 0.0))
     best = 0
     for k in range(1, 4):
         if scores[k] > scores[best] + 1e-6:
@@ -51,32 +55,39 @@ def choose_turn(cells: np.ndarray, above: np.ndarray | None, before: np.ndarray
     return best if best and scores[best] >= ALIGNED and scores[best] - scores[0] >= BETTER else 0
 
 
+def tile_edges(labels: DataFrame, t: int, meta: RasterMeta, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ty, tx, h, w, top, left, bottom, right): each tile's size and outer cells; its inside is dropped before the shuffle."""
+    placed = labels.select(*(keys or []), F.expr(f"CAST(y div {t} AS INT) AS ty"), F.expr(f"CAST(x div {t} AS INT) AS tx"), (F.col("y") % t).cast("int").alias("i"), (F.col("x") % t).cast("int").alias("j"), F.col("label").cast("int").alias("label"))
+    placed = placed.withColumns({"h": F.least(F.lit(t), F.lit(meta.height) - F.col("ty") * t), "w": F.least(F.lit(t), F.lit(meta.width) - F.col("tx") * t)})
+    outer = placed.where("i = 0 OR j = 0 OR i = h - 1 OR j = w - 1")
+    line = lambda along, where, name: F.transform(F.array_sort(F.collect_list(F.when(F.expr(where), F.struct(along, "label")))), lambda c: c["label"]).alias(name)
+    return outer.groupBy(*(keys or []), "ty", "tx", "h", "w").agg(line("j", "i = 0", "top"), line("i", "j = 0", "left"), line("j", "i = h - 1", "bottom"), line("i", "j = w - 1", "right"))
+
+
 def orientation_plan(labels: DataFrame, t: int, meta: RasterMeta, keys: list[str] | None = None) -> DataFrame:
     """(keys, ty, tx, turns): each tile turned to fit its already turned neighbours, row by row.
 
-    A tile depends on the ones before it, so a raster is one group; rasters are done in parallel. Tiles that are cut by
-    the edge and not square stay.
+    A tile depends on the ones before it, so a raster is one group; rasters are done in parallel. The group has the tiles'
+    edges alone, and the fold holds one row of tiles. Tiles that are cut by the edge and not square stay.
     """
     keys = keys or []
-    group = keys or ["__all"]
-    table = labels if keys else labels.withColumn("__all", F.lit(0))
+    edges = tile_edges(labels, t, meta, keys)
+    table = edges if keys else edges.withColumn("__all", F.lit(0))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((meta.height, meta.width), np.int64)
-        image[pdf["y"], pdf["x"]] = pdf["label"]
-        rows = []
-        for y in range(0, meta.height, t):
-            for x in range(0, meta.width, t):
-                cells = image[y : y + t, x : x + t]
-                turns = 0
-                if t > 1 and cells.shape[0] == cells.shape[1]:
-                    turns = choose_turn(cells, image[y - 1, x : x + t] if y else None, image[y : y + t, x - 1] if x else None)
-                    image[y : y + t, x : x + t] = np.rot90(cells, turns)
-                rows.append((*[pdf[c].iloc[0] for c in keys], y // t, x // t, turns))
+        rows, below, before, last = [], {}, None, None
+        pdf = pdf.sort_values(["ty", "tx"], kind="stable")
+        for ty, tx, h, w, *sides in zip(*[pdf[c] for c in ("ty", "tx", "h", "w", "top", "left", "bottom", "right")]):
+            own, turns = tuple(np.asarray(side) for side in sides), 0
+            if t > 1 and h == w:
+                turns = choose_turn(own, below.get(tx) if ty else None, before if tx and last == (ty, tx - 1) else None)
+                own = turned_edges(own, turns)
+            below[tx], before, last = own[2], own[3], (ty, tx)
+            rows.append((*[pdf[c].iloc[0] for c in keys], ty, tx, turns))
         return pd.DataFrame(rows, columns=[*keys, "ty", "tx", "turns"])
 
     kinds = ", ".join([*[f"`{c}` {dict(labels.dtypes)[c]}" for c in keys], "ty int", "tx int", "turns int"])
-    return table.groupBy(*group).applyInPandas(plan, kinds)
+    return table.groupBy(*(keys or ["__all"])).applyInPandas(plan, kinds)
 
 
 def turn_tiles(df: DataFrame, plan: DataFrame, t: int, meta: RasterMeta, keys: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.config import BlurConfig, checked_segments
 from ..operators import cluster, focal, nearest, refine, resample, tiles
 from ..operators.grid import block_windows, cells_of, in_windows, stitch, with_halo
 from ..schema import RasterMeta, bands_of, features_of, grid
+from ..store import settled
 
 
 class Canceled(RuntimeError):
@@ -159,7 +160,7 @@ def segment_latent(
     if require_centers and centers is None:
         raise RuntimeError("centres are required")
     cut = tiles.tile(pixels, t)
-    latent = tiles.latent_grid(cut, loader, t, meta.bands, dims).persist()
+    latent = settled(tiles.latent_grid(cut, loader, t, meta.bands, dims))
     high, wide = -(-meta.height // t) * latent_per_tile, -(-meta.width // t) * latent_per_tile
     cells = latent.select(F.col("y").alias("blk_y"), F.col("x").alias("blk_x"), "vec", *[F.element_at("vec", d + 1).alias(f"f{d}") for d in range(dims)])
     if centers is None:

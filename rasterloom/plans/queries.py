@@ -16,6 +16,7 @@ from ..functions import config, layers, progress
 from ..operators import blend, cluster, focal, grid, nearest, refine, resample, sampling, tiles
 from ..schema import RasterMeta, features_of
 from ..sources import raster, tables
+from ..store import new_folder
 from ..streaming import assign as stream
 from . import pipeline
 
@@ -773,17 +774,15 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {tables.ORDERS_SQL} SELECT y, x, b0, b1, b2 FROM px")
 def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, meta = tables.orders_raster(spark, sf_dir)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp"
     full = RasterMeta.from_extent(meta.height, meta.width, 3, (0.0, 0.0, float(meta.width), float(meta.height)), 32633)
-    path = raster.write_raster(px, full, f"{root.rstrip('/')}/rasters", "orders")
+    path = raster.write_raster(px, full, new_folder(spark, "rasters"), "orders")
     return raster.read_tiff(spark, path, 3).select("y", "x", *[F.col(f"b{n}").cast("bigint").alias(f"b{n}") for n in range(3)])
 
 
 @query(f"WITH {pool_sql(R)}, {assign_sql(BRIGHT)} SELECT blk_y, blk_x, label FROM asg")
 def stream_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, meta = tables.orders_raster(spark, sf_dir)
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp"
-    base = f"{root.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}"
+    base = new_folder(spark, "stream")
     blocks = focal.pool(px, meta, R)
     blocks.repartition(4).write.parquet(f"{base}/in")
     stream.start(stream.read_blocks(spark, f"{base}/in", blocks.schema, 1), BRIGHT, f"{base}/out", f"{base}/state").awaitTermination()
