@@ -7,12 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.layers import free_name
 from ..schema import RasterMeta, bands_of
+from ..store import new_folder
 from . import tiff
 
 #: Rows of a strip that is written, and of a partition that is read.
@@ -93,13 +95,37 @@ class _Rows(InputPartition):
         self.first, self.last = first, last
 
 
+#: Schemes that Spark and Arrow name differently.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def ranges(path: str) -> tuple[tiff.Fetch, Callable[[], None]]:
+    """What reads ranges of bytes of a file in any store that Arrow knows, and what closes it; a plain path is local."""
+    scheme, mark, rest = path.partition(":")
+    if mark and scheme in ("file",):
+        system, place = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    elif mark and len(scheme) > 1 and rest.startswith("//"):
+        system, place = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    else:
+        system, place = fs.LocalFileSystem(), path
+    handle = system.open_input_file(place)
+    return lambda at, size: handle.read_at(size, at), handle.close
+
+
+def header_of(path: str) -> tiff.Header:
+    fetch, close = ranges(path)
+    try:
+        return tiff.read_header(fetch)
+    finally:
+        close()
+
+
 class GeoTiffReader(DataSourceReader):
-    """Reads a file by runs of rows, each partition only the strips or tiles that hold its rows."""
+    """Reads a file by runs of rows: of the file the header once, and each partition only the strips or tiles that hold its rows."""
 
     def __init__(self, path: str, rows: int, bounds: tuple[int, int] | None = None):
         self.path, self.rows, self.bounds = path, rows, bounds
-        with open(path, "rb") as f:
-            self.header = tiff.read_header(f.read())
+        self.header = header_of(path)
 
     def partitions(self) -> list[InputPartition]:
         first, last = self.bounds or (0, self.header.height)
@@ -123,12 +149,14 @@ class GeoTiffReader(DataSourceReader):
         self.bounds = (min(first, last), last)
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as f:
-            data = f.read()
-        for y, x, block in tiff.read_blocks(data, self.header, partition.first, partition.last):
-            a, b = max(y, partition.first), min(y + block.shape[1], partition.last)
-            if a < b:
-                yield pa.RecordBatch.from_pandas(_rows(a, x, block[:, a - y : b - y]), preserve_index=False)
+        fetch, close = ranges(self.path)
+        try:
+            for y, x, block in tiff.read_blocks(fetch, self.header, partition.first, partition.last):
+                a, b = max(y, partition.first), min(y + block.shape[1], partition.last)
+                if a < b:
+                    yield pa.RecordBatch.from_pandas(_rows(a, x, block[:, a - y : b - y]), preserve_index=False)
+        finally:
+            close()
 
 
 class GeoTiff(DataSource):
@@ -139,11 +167,10 @@ class GeoTiff(DataSource):
         return "geotiff"
 
     def _path(self) -> str:
-        return self.options["path"].split("|")[0].removeprefix("file://")
+        return self.options["path"].split("|")[0]
 
     def schema(self) -> str:
-        with open(self._path(), "rb") as f:
-            header = tiff.read_header(f.read())
+        header = header_of(self._path())
         return pixel_schema(header.bands, header.dtype)
 
     def reader(self, schema) -> GeoTiffReader:
@@ -157,29 +184,52 @@ def register(spark: SparkSession) -> None:
 
 
 def strips(pixels: DataFrame, meta: RasterMeta, values: list[str], dtype: str = "uint8") -> DataFrame:
-    """(strip, data): the bytes of each run of STRIP_ROWS rows, band by band; a group has at most that many rows."""
+    """(strip, data): the deflated bytes of each run of STRIP_ROWS rows; a group has at most that many rows."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["strip"].iloc[0])
         image = np.zeros((len(values), min(STRIP_ROWS, meta.height - n * STRIP_ROWS), meta.width), dtype)
         for b, v in enumerate(values):
             image[b, pdf["y"] - n * STRIP_ROWS, pdf["x"]] = pdf[v]
-        return pd.DataFrame({"strip": [n], "data": [image.tobytes()]})
+        return pd.DataFrame({"strip": [n], "data": [tiff.pack_strip(image)]})
 
     rows = pixels.select("y", "x", *values, F.expr(f"CAST(y div {STRIP_ROWS} AS INT) AS strip"))
     return rows.groupBy("strip").applyInPandas(pack, "strip int, data binary")
 
 
-def to_geotiff(labels: DataFrame, meta: RasterMeta, values: list[str] | None = None, dtype: str = "uint8") -> bytes:
-    """A GeoTIFF of a raster that fits the driver: strips are packed by the executors and joined here."""
+def geotiff_parts(labels: DataFrame, meta: RasterMeta, values: list[str] | None = None, dtype: str = "uint8") -> Iterator[bytes]:
+    """The bytes of a GeoTIFF in order. Executors pack and keep the strips; the driver learns their sizes, from which all
+    offsets follow, and passes the strips on a partition at a time."""
     values = values or (["label"] if "label" in labels.columns else bands_of(labels))
-    rows = sorted(strips(labels, meta, values, dtype).toLocalIterator(), key=lambda r: r["strip"])
-    arrays = [np.frombuffer(r["data"], dtype).reshape(len(values), -1, meta.width) for r in rows]
-    return tiff.encode(arrays, min(STRIP_ROWS, meta.height), meta.transform, meta.epsg)
+    path = new_folder(labels.sparkSession, "strips")
+    strips(labels, meta, values, dtype).repartitionByRange("strip").sortWithinPartitions("strip").write.parquet(path)
+    packed = labels.sparkSession.read.schema("strip int, data binary").parquet(path)
+    sizes = {r["strip"]: r["n"] for r in packed.select("strip", F.length("data").alias("n")).collect()}
+    blank = {}
+    for n in range(-(-meta.height // STRIP_ROWS)):  # rows without a pixel are zeros
+        if n not in sizes:
+            blank[n] = tiff.pack_strip(np.zeros((len(values), min(STRIP_ROWS, meta.height - n * STRIP_ROWS), meta.width), dtype))
+            sizes[n] = len(blank[n])
+    head, tail = tiff.layout([sizes[n] for n in sorted(sizes)], (len(values), meta.height, meta.width), np.dtype(dtype), min(STRIP_ROWS, meta.height), meta.transform, meta.epsg)
+    yield head
+    due = 0
+    for row in packed.orderBy("strip").toLocalIterator():
+        while due in blank:
+            yield blank[due]
+            due += 1
+        yield bytes(row["data"])
+        due = row["strip"] + 1
+    yield from (blank[n] for n in sorted(blank) if n >= due)
+    yield tail
+
+
+def to_geotiff(labels: DataFrame, meta: RasterMeta, values: list[str] | None = None, dtype: str = "uint8") -> bytes:
+    """A GeoTIFF of a raster that fits the driver."""
+    return b"".join(geotiff_parts(labels, meta, values, dtype))
 
 
 def write_raster(labels: DataFrame, meta: RasterMeta, folder: str, name: str, kind: str = "geotiff", values: list[str] | None = None) -> str:
-    """Write a label map under a free name; return the path. Kind parquet scales to any size, geotiff to the driver's memory."""
+    """Write a label map under a free name; return the path. Strips of a GeoTIFF pass through the driver one partition at a time."""
     spark = labels.sparkSession
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(folder)
@@ -192,6 +242,9 @@ def write_raster(labels: DataFrame, meta: RasterMeta, folder: str, name: str, ki
         labels.withColumn("strip", F.expr(f"CAST(y div {STRIP_ROWS} AS INT)")).repartition("strip").sortWithinPartitions("y", "x").drop("strip").write.parquet(path)
     else:
         out = system.create(jvm.org.apache.hadoop.fs.Path(path))
-        out.write(bytearray(to_geotiff(labels, meta, values)))
-        out.close()
+        try:
+            for part in geotiff_parts(labels, meta, values):
+                out.write(bytearray(part))
+        finally:
+            out.close()
     return path

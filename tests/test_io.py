@@ -66,6 +66,61 @@ def test_tiff_variants():
             tiff.read_header(bad)
 
 
+@pytest.mark.parametrize("dtype", ["uint8", "float32"])
+def test_big_tiff_round_trip(dtype):
+    a = (np.random.default_rng(4).random((3, 21, 17)) * 100).astype(dtype)
+    data = tiff.encode([a[:, k : k + 8] for k in range(0, 21, 8)], 8, (10.0, 0.5, 0.0, 90.0, 0.0, -0.25), 32633, big=True)
+    header, got = whole(data)
+    assert data[:4] == b"II+\0" and (got == a).all() and header.transform == (10.0, 0.5, 0.0, 90.0, 0.0, -0.25) and header.epsg == 32633
+
+
+def pack_lzw(data):
+    """Plain LZW with the table's growth and code widths of the format."""
+    codes, table, now = [(256, 9)], {bytes([b]): b for b in range(256)}, b""
+    size = 258
+    width = lambda n: 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
+    for b in data:
+        if now + bytes([b]) in table:
+            now += bytes([b])
+            continue
+        codes.append((table[now], width(size - 1 if size > 258 else size)))
+        table[now + bytes([b])] = size
+        size += 1
+        now = bytes([b])
+        if size == 4094:
+            codes += [(table[now], width(size - 1)), (256, 12)]
+            table, size, now = {bytes([b]): b for b in range(256)}, 258, b""
+    codes += ([(table[now], width(size - 1 if size > 258 else size))] if now else []) + [(257, width(size))]
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_lzw():
+    luck = np.random.default_rng(5)
+    for data in (b"", b"a", b"aaaa" * 50, luck.integers(0, 3, 3000).astype(np.uint8).tobytes(), luck.integers(0, 256, 9000).astype(np.uint8).tobytes()):
+        assert tiff.unpack_lzw(pack_lzw(data)) == data
+
+
+def test_a_filtered_scan_reads_few_bytes(spark, tmp_path, monkeypatch):
+    image = np.random.default_rng(6).integers(0, 255, (3, 2048, 64)).astype(np.uint8)
+    at = tmp_path / "tall.tif"
+    at.write_bytes(tiff.encode([image[:, k : k + 64] for k in range(0, 2048, 64)], 64, deflate=False))
+    read, real = [], raster.ranges
+
+    def counted(path):
+        fetch, close = real(path)
+        return lambda a, n: read.append(n) or fetch(a, n), close
+
+    monkeypatch.setattr(raster, "ranges", counted)
+    reader = raster.GeoTiffReader(f"file://{at}", 64)
+    assert sum(read) < 4096  # the header alone
+    rows = sum(b.num_rows for b in reader.read(raster._Rows(640, 704)))
+    assert rows == 64 * 64 and sum(read) < 4096 + 64 * 64 * 3 + 1
+    spread = spark.createDataFrame([(0, 0, 7), (200, 3, 9)], "y int, x int, label int")  # strips without a pixel
+    got = whole(raster.to_geotiff(spread, RasterMeta(260, 5, 1)))[1]
+    assert got.sum() == 16 and got[0, 0, 0] == 7 and got[0, 200, 3] == 9
+
+
 @pytest.fixture
 def image():
     return np.random.default_rng(2).integers(0, 255, (3, 150, 20)).astype(np.uint8)
