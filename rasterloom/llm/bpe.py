@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, lookup, stored
+from .common import add_columns, is_small, lookup, stored
 
 #: Pretokens of byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -280,25 +281,30 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
     places = shared_places(chunk_index(df.select(t0.alias("t0"), t1.alias("t1"), whole), tokenizer))
     # kept columns travel in a struct, so that their names can't clash with those of the work
     rows = df.select(F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in kept]).alias("kept"), t0.alias("t0"), t1.alias("t1"), whole)
-    rows = lookup(rows, places, ["t0", "t1"], "left", F.lit(64) + 72 * F.size("places"))
+    bytes_of = F.lit(64) + 72 * F.size("places")
+    small = is_small(places, bytes_of)
+    rows = lookup(rows, places, ["t0", "t1"], "left", bytes_of)
+    if not small:
+        rows = stored(rows, "met-places")  # read twice, so that the documents are shuffled once
+
+    def once(batches):
+        seen = set()
+        for batch in batches:  # a task passes a marked text on once
+            t0, t1, texts = [batch.column(batch.schema.get_field_index(c)) for c in ("t0", "t1", "text")]
+            first = []
+            for key in zip(t0.to_pylist(), t1.to_pylist()):
+                first.append(key not in seen)
+                seen.add(key)
+            texts = pc.if_else(pa.array(first, pa.bool_()), texts, pa.scalar(None, texts.type))
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
 
     def work():
-        codec, seen = Codec(tokenizer), set()
-
-        def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            marked, texts, t0, t1 = [batch.column(batch.schema.get_field_index(c)) for c in ("places", "text", "t0", "t1")]
-            found = [None if p.is_valid else codec.encode(t.as_py()) for p, t in zip(marked, texts)]
-            left = []
-            for p, t, key in zip(marked, texts, zip(t0.to_pylist(), t1.to_pylist())):
-                left.append(t.as_py() if p.is_valid and key not in seen else None)  # a task passes a marked text on once
-                if p.is_valid:
-                    seen.add(key)
-            return [pa.array(left, pa.string()), *_answers(codec, found, ids)]
-
-        return each
+        codec = Codec(tokenizer)
+        return lambda batch: _answers(codec, [codec.encode(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))], ids)
 
-    first = [T.StructField("text", T.StringType()), *fields]
-    done = stored(add_columns(rows, first, work, ["text"], ["kept", "t0", "t1", "places"]), "encoded")
+    plain = add_columns(rows.where("places IS NULL"), fields, work, ["text"], ["kept"])
+    found = rows.where("places IS NOT NULL").select("kept", "t0", "t1", "text", "places")
+    done = stored(found.mapInArrow(once, T.StructType([T.StructField(f.name, f.dataType) for f in found.schema])), "marked")
     marked = done.where("text IS NOT NULL").select("t0", "t1", "text", "places")
     chunks = encoded_chunks(marked, tokenizer)
     held = lookup(marked.select("t0", "t1", F.explode("places").alias("p")).select("t0", "t1", "p.*").drop("own").distinct(), chunks, ["h0", "h1"], "inner", F.lit(400) + F.length("ids"))
@@ -310,8 +316,8 @@ def encode_documents(df: DataFrame, tokenizer: str, text: str = "text", keep: li
     answers = met.mapInArrow(_met(tokenizer, ids), T.StructType([T.StructField("t0", T.LongType()), T.StructField("t1", T.LongType()), *fields]))
     names = [f.name for f in fields]
     out = [*[F.col(f"kept.`{c}`") for c in kept], *names]
-    direct = done.where("places IS NULL").select(*out)
-    met = lookup(done.where("places IS NOT NULL").select("kept", "t0", "t1"), stored(answers, "answers"), ["t0", "t1"], "inner", F.lit(300) + (4 * F.col("n_tokens") if ids else 0))
+    direct = plain.select(*out)
+    met = lookup(done.select("kept", "t0", "t1"), stored(answers, "answers"), ["t0", "t1"], "inner", F.lit(300) + (4 * F.col("n_tokens") if ids else 0))
     return direct.unionByName(met.select(*out))
 
 

@@ -21,11 +21,13 @@ from . import simhash
 from .common import add_columns, lookup, stored
 from .components import components
 
-SEED, WORDS, LEAST, BITS, RECALL = 42, 5, 0.8, 128, 0.97
+SEED, WORDS, LEAST, BITS, RECALL = 42, 5, 0.8, 128, 0.985
 #: Probability that a bit of two sets at the least similarity differs: the angle between them over a half turn.
 SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
 #: Bits apart that all but a thousandth of such sets are within.
 RADIUS = next(r for r in range(BITS) if sum(math.comb(BITS, d) * SHARE**d * (1 - SHARE) ** (BITS - d) for d in range(r + 1)) >= 0.999)
+#: Fingerprints of a shard on average. Wide radii cut few edges, so shards are chosen for few copies of each fingerprint.
+SHARD = 384
 #: Nodes of a block; a group's nodes are compared at once where they are no more.
 BLOCK = 1024
 FIELDS = [T.StructField("digest", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType())]
@@ -106,10 +108,15 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
     """(node, root): the groups of more than one that fingerprints within the radius join, from (digest, f0, f1) by set."""
-    prints = stored(sets.where("f0 IS NOT NULL").groupBy("f0", "f1").agg(F.min("digest").alias("node"), F.count(F.lit(1)).alias("n")), "prints")
-    alike = sets.join(prints.where("n > 1"), ["f0", "f1"]).where("digest <> node").select(F.col("digest").alias("a"), F.col("node").alias("b"))
-    dealing = simhash.sampled_masks(prints.count(), BITS, SHARE, RADIUS, RECALL)
-    return stored(components(simhash.linked(prints, dealing, RADIUS).union(alike)), "candidate-groups")
+    known = sets.where("f0 IS NOT NULL").select("digest", "f0", "f1", F.col("f0").bitwiseXOR(F.col("f1")).alias("id"))
+    prints = stored(known.select("f0", "f1").distinct(), "prints")
+    dealing = simhash.sampled_masks(prints.count(), BITS, SHARE, RADIUS, RECALL, SHARD)
+    links = simhash.linked(prints, dealing, RADIUS)
+    # fingerprints stand for the sets that have them: those without a link of their own matter where several sets share one
+    named = components(links).select(F.col("node").alias("id"), "root")
+    grouped = known.join(named, "id", "left").select(F.col("digest").alias("node"), F.coalesce("root", "id").alias("group"))
+    several = stored(grouped.groupBy("group").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    return stored(lookup(grouped, several.drop("n"), ["group"], "inner", 64).select("node", "root"), "candidate-groups")
 
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

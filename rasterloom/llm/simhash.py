@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import add_columns, lookup, stored
+from .common import add_columns, discard, lookup, stored
 from .components import components
 
 SEED, WORDS, RADIUS, BITS = 42, 4, 4, 64
@@ -158,33 +158,39 @@ def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return prints[a], prints[b]
 
 
-def _grow(words: int):
-    """Rows (by, block, sub, node, f0, ...) sorted by shard: a row (by, block, sub, n, tree) for each tree.
+def ids_of(prints: np.ndarray) -> np.ndarray:
+    """A fingerprint's id: its word, or its words' exclusive or. Wide ones that share an id count as one node."""
+    return np.bitwise_xor.reduce(prints.view(np.int64), 1)
 
-    A tree is an array of longs: for each of its nodes the node's id, its words, and its parent and edge.
+
+def _grow(lead: int):
+    """Rows (key, sub if ``lead`` is 2, f0, ...) sorted by shard: a row (key, sub, n, tree) for each tree.
+
+    A tree is an array of longs: for each of its nodes the words, and its parent and edge.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grown(rows: np.ndarray) -> pa.RecordBatch:
-            starts = np.append(0, np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1)
-            trees = Trees(rows[:, 4:].view(np.uint64), starts)
+            starts = np.append(0, np.flatnonzero((rows[1:, :lead] != rows[:-1, :lead]).any(1)) + 1)
+            trees = Trees(np.ascontiguousarray(rows[:, lead:]).view(np.uint64), starts)
             own = np.repeat(starts, np.diff(np.append(starts, len(rows))))
-            flat = np.ascontiguousarray(np.column_stack([rows[:, 3:], (trees.up - own) << 16 | trees.edge]))
+            flat = np.ascontiguousarray(np.column_stack([rows[:, lead:], (trees.up - own) << 16 | trees.edge]))
             ends = np.append(starts[1:], len(rows))
             packed = [flat[a:b].tobytes() for a, b in zip(starts, ends)]
-            return pa.RecordBatch.from_arrays([*[pa.array(rows[starts, c]) for c in range(3)], pa.array(ends - starts), pa.array(packed, pa.binary())], names=["by", "block", "sub", "n", "tree"])
+            sub = rows[starts, 1] if lead == 2 else np.zeros(len(starts), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(rows[starts, 0]), pa.array(sub), pa.array(ends - starts), pa.array(packed, pa.binary())], names=["key", "sub", "n", "tree"])
 
-        kept = np.zeros((0, 4 + words), np.int64)
+        kept = None
         for batch in batches:
-            now = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in range(4 + words)])
-            kept = np.concatenate([kept, now])
+            now = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in range(batch.num_columns)])
+            kept = now if kept is None else np.concatenate([kept, now])
             if not len(kept):
                 continue
-            last = int(np.flatnonzero(np.append(True, (kept[1:, :3] != kept[:-1, :3]).any(1)))[-1])  # a shard may go on in the next batch
+            last = int(np.flatnonzero(np.append(True, (kept[1:, :lead] != kept[:-1, :lead]).any(1)))[-1])  # a shard may go on in the next batch
             if last:
                 yield grown(kept[:last])
             kept = kept[last:]
-        if len(kept):
+        if kept is not None and len(kept):
             yield grown(kept)
 
     return run
@@ -195,15 +201,15 @@ def _searched(words: int, radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tree, asks = [[np.frombuffer(v.as_buffer(), np.int64).reshape(-1, words + 2) for v in batch.column(batch.schema.get_field_index(c))] for c in ("tree", "asks")]
+            tree, asks = [[np.frombuffer(v.as_buffer(), np.int64).reshape(-1, words + 1) for v in batch.column(batch.schema.get_field_index(c))] for c in ("tree", "asks")]
             if not tree:
                 continue
             sizes = np.array([len(t) for t in tree])
             starts, asked = np.cumsum(sizes) - sizes, np.array([len(a) for a in asks])
-            flat, ask = np.concatenate(tree), np.concatenate(asks)
-            prints, asking = [np.ascontiguousarray(rows[:, 1 : 1 + words]).view(np.uint64) for rows in (flat, ask)]
+            flat = np.concatenate(tree)
+            prints, asking = [np.ascontiguousarray(rows[:, :words]).view(np.uint64) for rows in (flat, np.concatenate(asks))]
             trees = Trees(prints, starts, (flat[:, -1] >> 16) + np.repeat(starts, sizes), flat[:, -1] & 0xFFFF)
-            for a, b in _links(trees, flat[:, 0], asking, ask[:, 0], np.repeat(starts, asked), np.repeat(sizes, asked), radius):
+            for a, b in _links(trees, ids_of(prints), asking, ids_of(asking), np.repeat(starts, asked), np.repeat(sizes, asked), radius):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
@@ -249,40 +255,43 @@ def sampled_masks(n: int, bits: int, share: float, radius: int, recall: float, s
     return out
 
 
-def shard_trees(nodes: DataFrame, dealing: list[tuple[int, ...]]) -> DataFrame:
-    """(by, block, sub, n, tree): the BK-trees of all shards of ``nodes`` (node long, f0 long, ...), stored.
+def shard_trees(prints: DataFrame, dealing: list[tuple[int, ...]]) -> DataFrame:
+    """(key, sub, n, tree): the BK-trees of all shards of ``prints`` (f0 long, ...; distinct), stored.
 
     A shard of more than TREE fingerprints is dealt into several trees, so that no task gathers it.
     """
     words = [f"f{k}" for k in range(len(dealing[0]))]
-    block = lambda mask: F.xxhash64(*[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(words, mask)])
-    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("by"), block(m).alias("block")) for k, m in enumerate(dealing)])
-    dealt = nodes.select("node", *words, F.explode(keys).alias("key")).select("key.by", "key.block", "node", *words)
-    large = stored(dealt.groupBy("by", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE), "large-shards")
-    sub = F.coalesce(F.expr(f"pmod(xxhash64(node, 3L), n div {TREE} + 1)"), F.lit(0)).cast("long")
-    placed = lookup(dealt, large, ["by", "block"], "left", 80).select("by", "block", sub.alias("sub"), "node", *words)
-    placed = placed.repartition("by", "block", "sub").sortWithinPartitions("by", "block", "sub")
-    return stored(placed.mapInArrow(_grow(len(words)), "by long, block long, sub long, n long, tree binary"), "shard-trees")
+    key = lambda k, mask: F.xxhash64(F.lit(k), *[F.col(f).bitwiseAND(F.lit(m)) for f, m in zip(words, mask)])
+    dealt = prints.select(F.explode(F.array(*[key(k, m) for k, m in enumerate(dealing)])).alias("key"), *words)
+    large = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TREE), "large-shards")
+    shape = "key long, sub long, n long, tree binary"
+    if large.isEmpty():
+        return stored(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_grow(1), shape), "shard-trees")
+    sub = F.coalesce(F.expr(f"pmod(xxhash64({', '.join(words)}, 3L), n div {TREE} + 1)"), F.lit(0)).cast("long")
+    placed = lookup(dealt, large, ["key"], "left", 64).select("key", sub.alias("sub"), *words)
+    return stored(placed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(_grow(2), shape), "shard-trees")
 
 
-def linked(nodes: DataFrame, dealing: list[tuple[int, ...]], radius: int) -> DataFrame:
-    """(a, b): links that join every two of ``nodes`` (node long, f0 long, ...; distinct fingerprints) that a chain of links
-    within shards joins.
+def linked(prints: DataFrame, dealing: list[tuple[int, ...]], radius: int) -> DataFrame:
+    """(a, b): links between the ids of ``prints`` (f0 long, ...; distinct), stored, that join every two which a chain of
+    links within shards joins.
 
     While all trees are small they are broadcast to the fingerprints of their shard. Beyond, a shard's fingerprints search
     its tree where the shuffle of shards has brought both, and only the trees of shards that have several are joined.
     """
-    trees, words = shard_trees(nodes, dealing), len(dealing[0])
-    asks = trees.select("by", "block", F.col("sub").alias("asking"), F.col("tree").alias("asks"))
+    trees, words = shard_trees(prints, dealing), len(dealing[0])
+    asks = trees.select("key", F.col("sub").alias("asking"), F.col("tree").alias("asks"))
     held = F.sum(F.length("tree") + 80)
     if (trees.agg(held).first()[0] or 0) <= common.BROADCAST_BYTES:
-        met = asks.join(F.broadcast(trees), ["by", "block"]).where("sub <= asking").select("tree", "asks")
+        met = asks.join(F.broadcast(trees), "key").where("sub <= asking").select("tree", "asks")
     else:
-        several = stored(trees.where("sub > 0").select("by", "block").distinct(), "split-shards")
-        split = lookup(trees, several, ["by", "block"], "inner", 64)
+        several = stored(trees.where("sub > 0").select("key").distinct(), "split-shards")
+        split = lookup(trees, several, ["key"], "inner", 64)
         split = F.broadcast(split) if (split.agg(held).first()[0] or 0) <= common.BROADCAST_BYTES else split
-        met = trees.select("tree", F.col("tree").alias("asks")).union(asks.join(split, ["by", "block"]).where("sub < asking").select("tree", "asks"))
-    return met.mapInArrow(_searched(words, radius), "a long, b long")
+        met = trees.select("tree", F.col("tree").alias("asks")).union(asks.join(split, "key").where("sub < asking").select("tree", "asks"))
+    links = stored(met.mapInArrow(_searched(words, radius), "a long, b long"), "tree-links")
+    discard(trees)
+    return links
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -294,7 +303,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     """
     docs = stored(fingerprints(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]), "fingerprints")
     each = stored(docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "distinct")
-    links = linked(each.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), [(m,) for m in masks(each.count(), radius)], radius)
+    links = linked(each.select(F.col("fp").alias("f0")), [(m,) for m in masks(each.count(), radius)], radius)
     joined = stored(components(links), "components")
     named = joined.join(each, joined.node == each.fp).groupBy("root").agg(F.min("least").alias("least"))
     named = stored(joined.join(named, "root").select(F.col("node").alias("fp"), F.col("least").alias("all_least")), "named")

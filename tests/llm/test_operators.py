@@ -553,15 +553,15 @@ def test_the_querys_trees_branch_and_shards_split(spark, monkeypatch):
     """At sf0.1 the shards of op9 hold trees with inner nodes; split shards and shuffled trees give the same components."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     prints = [r["fingerprint"] for r in simhash.fingerprints(docs, keep=[]).distinct().collect()]
-    nodes = spark.createDataFrame([(p, p) for p in prints], "node long, f0 long")
+    nodes = spark.createDataFrame([(p,) for p in prints], "f0 long")
     dealing = [(m,) for m in simhash.masks(len(prints), simhash.RADIUS)]
     shards = simhash.shard_trees(nodes, dealing).collect()
     assert sum(r["n"] for r in shards) == len(dealing) * len(prints) and len(shards) > len(dealing)
     inner = []
     for r in shards:
-        flat = np.frombuffer(bytes(r["tree"]), np.int64).reshape(-1, 3)
-        up, edge = flat[:, 2] >> 16, flat[:, 2] & 0xFFFF
-        assert all((int(flat[k, 1] ^ flat[up[k], 1]) % (1 << 64)).bit_count() == edge[k] for k in range(len(flat)))
+        flat = np.frombuffer(bytes(r["tree"]), np.int64).reshape(-1, 2)
+        up, edge = flat[:, 1] >> 16, flat[:, 1] & 0xFFFF
+        assert all((int(flat[k, 0] ^ flat[up[k], 0]) % (1 << 64)).bit_count() == edge[k] for k in range(len(flat)))
         inner.append(len(set(up[1:].tolist())))
     assert sum(n > 4 for n in inner) > 0.9 * len(inner)
     want = {r["node"]: r["root"] for r in components.components(simhash.linked(nodes, dealing, 4)).collect()}
