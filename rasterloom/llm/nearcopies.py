@@ -27,7 +27,7 @@ SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
 #: Bits apart that all but a thousandth of such sets are within.
 RADIUS = next(r for r in range(BITS) if sum(math.comb(BITS, d) * SHARE**d * (1 - SHARE) ** (BITS - d) for d in range(r + 1)) >= 0.999)
 #: Fingerprints of a shard on average. Wide radii cut few edges, so shards are chosen for few copies of each fingerprint.
-SHARD = 384
+SHARD = 768
 #: Nodes of a block; a group's nodes are compared at once where they are no more.
 BLOCK = 1024
 FIELDS = [T.StructField("digest", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType())]
