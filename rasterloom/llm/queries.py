@@ -91,7 +91,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
+def _case(word: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _found(order: int, kind: str, pattern: str, holds: str = "true", group: int = 0) -> str:
+    """Spans of an expression: what stands between matches and the matches' own lengths give the places in code points."""
+    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, CAST(list_sum(list_transform(piece[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(whole[i]) AS n
+      FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS whole, regexp_extract_all(t, '{pattern}', {group}) AS part, string_split_regex(t, '{pattern}') AS piece FROM d)) WHERE {holds}"""
+
+
+_WORDS = "|".join([*map(_case, ("password", "passwd", "secret", "token")), f"{_case('api')}_?{_case('key')}"])
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_CRC = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, 31), lambda q: ascii(body[q])::UBIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT)"
+_SECRETS_SQL = f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+    kw AS (SELECT rid, doc_id, unnest(range(1, len(word) + 1)) AS i, word, piece FROM (SELECT rid, doc_id, regexp_extract_all(t, '(?:gh[pousr]|npm)_') AS word, string_split_regex(t, '(?:gh[pousr]|npm)_') AS piece FROM d)),
+    rn AS (SELECT *, regexp_extract(piece[i + 1], '^[A-Za-z0-9]*') || CASE WHEN regexp_matches(piece[i + 1], '^[A-Za-z0-9]*$') AND i < len(word) THEN word[i + 1][:3] ELSE '' END AS run FROM kw),
+    ct AS (SELECT rid, doc_id, 3 AS ord, 'crc_token' AS kind, CAST(list_sum(list_transform(piece[:i], lambda x: length(x))) + 4 * (i - 1) AS BIGINT) AS a, 40 AS n, run[:30] AS body, run[31:] AS sum6 FROM rn WHERE length(run) = 36),
+    cc AS (SELECT *, {_CRC} AS crc FROM ct),
+    f AS ({" UNION ALL ".join([
+        _found(0, "assign", f"({_WORDS})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "length(part[i]) >= 6", 2),
+        _found(1, "access", "AKIA[A-Z0-9]+", "length(whole[i]) >= 20"),
+        _found(2, "hex", "[0-9a-f]+", "length(whole[i]) >= 24"),
+        _found(4, "web_token", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}"),
+        _found(5, "private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
+    ]).replace("SELECT doc_id,", "SELECT rid,").replace("(SELECT doc_id,", "(SELECT rid,")}
+      UNION ALL SELECT rid, ord, kind, a, n FROM cc WHERE list_reduce(list_transform(range(0, 6), lambda q: '{_DIGITS}'[CAST(crc // CAST(62 ** (5 - q) AS UBIGINT) % 62 AS BIGINT) + 1]), lambda x, y: x || y) = sum6),
+    g AS (SELECT rid, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+      string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, ord) AS spans FROM f GROUP BY rid)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_secrets": _SECRETS_SQL,
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),

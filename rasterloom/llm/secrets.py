@@ -90,8 +90,10 @@ def finder() -> Callable[[str], list[tuple[int, int, str]]]:
                 if start < done[kind]:
                     continue
                 if m := EXPRESSIONS[kind].match(text, start):
-                    done[kind] = m.end()  # a failing match uses up its characters as well
-                    if _holds(kind, m):
+                    holds = _holds(kind, m)
+                    if holds or kind in BASE:  # a failing match of a base kind uses up its characters as well
+                        done[kind] = m.end()
+                    if holds:
                         found.append((start, m.end(), kind))
                 elif kind == "web_token" and text.startswith("eyJ", start):
                     done[kind] = WEB_RUN.match(text, start).end()
