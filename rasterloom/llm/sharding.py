@@ -127,7 +127,7 @@ def shuffle_into_shards(
     n_shards: int = 24,
     seed: int = 7,
     max_sources: int = 1 << 16,
-    rows_per_cell: int = 500_000,
+    rows_per_cell: int = 100_000,
     max_cells: int = 480,
 ) -> DataFrame:
     """All rows with ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in each shard), in uniform random order.
