@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..schema import RasterMeta, bands_of, grid
 from ..store import settled
-from .focal import gaussian_blur, weight_mask
-from .grid import chunk_windows, in_windows
+from .focal import gaussian_plane, gaussian_weights, weight_mask
+from .grid import chunk_windows, in_tiles, in_windows, tile_side, tile_window
 
 #: Colour distance within which a chunk's label takes over a known prototype (fixed value).
 PALETTE = 24.0
@@ -36,13 +36,76 @@ def blend_sigma(size: int, scale: float = 1.0) -> float:
     return max(1.0, min(size / 10.0 * max(0.1, scale), 32.0))
 
 
+def _decided(rows: DataFrame, meta: RasterMeta, sigma: float, planes: Callable) -> DataFrame:
+    """(y, x, label) of the whole raster: in each tile, the class whose blurred score has the highest share of its blurred weight.
+
+    Rows (y, x, ...) go to tiles with the blur's halo in one shuffle; ``planes`` gives (class, score, weight) planes of a
+    tile's rows one class after the other, so a task holds one tile and a few planes. Ties go to the lowest class.
+    """
+    weights = gaussian_weights(sigma)
+    halo = len(weights) // 2
+    if halo >= meta.height or halo >= meta.width:
+        raise ValueError(f"a mirror of {halo} cells needs a raster longer than that on both axes")
+    side = tile_side(halo)
+    tall, wide = -(-meta.height // side), -(-meta.width // side)
+    # a row for each tile, so that tiles which no chunk reaches are decided as well
+    every = grid(rows.sparkSession, tall, wide).select(F.col("y").alias("__ty"), F.col("x").alias("__tx"))
+    dealt = in_tiles(rows, meta, side, halo).unionByName(every, allowMissingColumns=True)
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf["__ty"].iloc[0]), int(pdf["__tx"].iloc[0])
+        y0, x0, y1, x1 = tile_window(ty, tx, meta, side, halo)
+        pdf = pdf[pdf["y"].notna()]
+        cells = (pdf["y"].to_numpy(np.int64) - y0) * (x1 - x0) + pdf["x"].to_numpy(np.int64) - x0
+        best, won = np.full((y1 - y0, x1 - x0), -np.inf), np.zeros((y1 - y0, x1 - x0), np.int32)
+        known, soft = None, None
+        for k, score, weight in planes(pdf, cells, best.shape):
+            if weight is not known:  # classes may share one plane of weights
+                known, soft = weight, np.maximum(gaussian_plane(weight, weights), 1e-6)
+            share = gaussian_plane(score, weights) / soft
+            more = share > best
+            best[more], won[more] = share[more], k
+        core = won[ty * side - y0 : (ty + 1) * side - y0, tx * side - x0 : (tx + 1) * side - x0]
+        y, x = np.indices(core.shape, dtype=np.int32)
+        return pd.DataFrame({"y": (y + ty * side).ravel(), "x": (x + tx * side).ravel(), "label": core.ravel()})
+
+    return dealt.groupBy("__ty", "__tx").applyInPandas(decide, "y int, x int, label int")
+
+
+def _plane(cells: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Values summed by cell, smaller ones first, so that the order of rows doesn't show."""
+    order = np.argsort(values, kind="stable")
+    return np.bincount(cells[order], values[order], shape[0] * shape[1]).reshape(shape).astype(float)  # without rows it counts in integers
+
+
 def finalize(scores: DataFrame, meta: RasterMeta, size: int, classes: int, scale: float = 1.0) -> DataFrame:
-    """Labels: scores and weights blurred, their ratio's highest class, ties to the lowest."""
-    full = grid(scores.sparkSession, meta.height, meta.width).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
-    dense = full.join(scores, ["y", "x", "k"], "left").fillna(0.0, ["score", "weight"])
-    soft = gaussian_blur(dense, meta, blend_sigma(size, scale), ["score", "weight"], ["k"])
-    share = F.col("score") / F.greatest(F.col("weight"), F.lit(1e-6))
-    return soft.groupBy("y", "x").agg(F.min(F.struct((-share).alias("v"), "k")).alias("best")).select("y", "x", F.col("best.k").cast("int").alias("label"))
+    """Labels of scores (y, x, k, score, weight): scores and weights blurred, their ratio's highest class, ties to the lowest.
+
+    Cells and classes without a row have score and weight zero; the whole raster gets labels.
+    """
+
+    def planes(pdf: pd.DataFrame, cells: np.ndarray, shape: tuple[int, int]):
+        k, score, weight = pdf["k"].to_numpy(), pdf["score"].fillna(0.0).to_numpy(float), pdf["weight"].fillna(0.0).to_numpy(float)
+        for c in range(classes):
+            of = k == c
+            yield c, _plane(cells[of], score[of], shape), _plane(cells[of], weight[of], shape)
+
+    return _decided(scores.select("y", "x", "k", "score", "weight"), meta, blend_sigma(size, scale), planes)
+
+
+def blended_labels(chunked: DataFrame, meta: RasterMeta, size: int, classes: int, scale: float = 1.0) -> DataFrame:
+    """``finalize`` of the weighted scores of chunk labels (y, x, y0, x0, label), without a row for each class and cell:
+    labels with their Hann weights go straight to the tiles and are summed there."""
+
+    def planes(pdf: pd.DataFrame, cells: np.ndarray, shape: tuple[int, int]):
+        label, mask = pdf["label"].to_numpy(), pdf["m"].to_numpy(float)
+        weight = _plane(cells, mask, shape)
+        for c in range(classes):
+            of = label == c
+            yield c, _plane(cells[of], mask[of], shape), weight
+
+    mask = weight_mask(F.col("y") - F.col("y0"), F.col("x") - F.col("x0"), size)
+    return _decided(chunked.select("y", "x", "label", mask.alias("m")), meta, blend_sigma(size, scale), planes)
 
 
 def match_labels(vectors: DataFrame, classes: int, keys: list[str] | None = None) -> DataFrame:
@@ -112,4 +175,4 @@ def process_in_chunks(pixels: DataFrame, meta: RasterMeta, size: int, stride: in
         return chunked.select("y", "x", "label")
     if harmonized:
         chunked = harmonize(chunked, classes)
-    return finalize(weighted_scores(chunked, size, classes), meta, size, classes, scale)
+    return blended_labels(chunked, meta, size, classes, scale)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import RasterMeta, bands_of
+from .grid import in_tiles, tile_side, tile_window
 
-#: Classes whose planes one row of the label blur carries.
-PLANES = 16
 #: Gaussian kernels up to this radius are written out and compiled; longer ones walk an array.
 COMPILED_RADIUS = 12
 
@@ -47,50 +48,57 @@ def box_smooth(pixels: DataFrame, meta: RasterMeta, keys: list[str] | None = Non
     return pool(pixels, meta, 1, keys).withColumnsRenamed({"blk_y": "y", "blk_x": "x"})
 
 
-def _box_sums(df: DataFrame, planes: list[str], part: list[str], along: str, length: int, p: int) -> DataFrame:
-    """Sums over 2p + 1 cells along an axis, end cells repeated beyond it: differences of running sums, whatever p."""
-    line = Window.partitionBy(*part).orderBy(along)
-    upto, whole = line.rowsBetween(Window.unboundedPreceding, Window.currentRow), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = df.withColumns({f"__s_{c}": F.sum(c).over(upto) for c in planes} | {f"__a_{c}": F.first(c).over(whole) for c in planes} | {f"__z_{c}": F.last(c).over(whole) for c in planes})
-    before, after = F.greatest(F.lit(0), p - F.col(along)), F.greatest(F.lit(0), F.col(along) + p - (length - 1))
-
-    def total(c: str) -> Column:
-        high = F.coalesce(F.lead(f"__s_{c}", p).over(line), F.sum(c).over(whole))
-        low = F.coalesce(F.lag(f"__s_{c}", p + 1).over(line), F.lit(0))
-        return high - low + before * F.col(f"__a_{c}") + after * F.col(f"__z_{c}")
-
-    return run.select(*[c for c in df.columns if c not in planes], *[total(c).alias(c) for c in planes])
+def _box_sums(plane: np.ndarray, p: int) -> np.ndarray:
+    """Sums over (2p + 1) x (2p + 1) cells, edges repeated: differences of running sums, whatever p."""
+    for axis in (1, 0):
+        ends = [(0, 0), (0, 0)]
+        ends[axis] = (p + 1, p)
+        run = np.cumsum(np.pad(plane, ends, "edge"), axis=axis)
+        n = plane.shape[axis]
+        plane = run[:, 2 * p + 1 :] - run[:, :n] if axis else run[2 * p + 1 :] - run[:n]
+    return plane
 
 
 def blur_labels(labels: DataFrame, meta: RasterMeta, kernel: int = 3, iterations: int = 1, classes: int | None = None, keys: list[str] | None = None) -> DataFrame:
     """Each cell's class with the highest box-smoothed share, ties to the lowest class.
 
     Shares of a class are smoothed ``iterations`` times without rounding, edges repeated. An even kernel grows by one; a
-    kernel of one or less changes nothing. ``labels`` must be dense; counts stay exact integers.
+    kernel of one or less changes nothing. Counts are exact integers (doubles where 64 bits can't hold them). Only classes
+    below ``classes`` (all, if not given) count; a cell without any in reach, as where all labels are null, gets null.
+    Cells go once to tiles with a halo as wide as the smoothing reaches: one shuffle of narrow rows whatever the kernel,
+    iterations and classes, and a task holds a tile and one class at a time.
     """
     keys = keys or []
     if kernel <= 1 or iterations < 1:
         return labels
     kernel += kernel % 2 == 0
     p = kernel // 2
-    if classes is None:
-        top = labels.agg(F.max("label").alias("m")).first()["m"]
-        classes = 0 if top is None else top + 1
-    if classes < 1:
-        return labels
-    batches, width = -(-classes // PLANES), min(classes, PLANES)
-    planes = [f"__p{k}" for k in range(width)]
-    batch = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))) if batches > 1 else F.lit(0)
-    grid = labels.select(*keys, "y", "x", "label", batch.alias("__batch"))
-    grid = grid.select(*keys, "__batch", "y", "x", *[(F.col("label") == F.col("__batch") * PLANES + k).cast("bigint").alias(c) for k, c in enumerate(planes)])
-    for _ in range(iterations):
-        grid = _box_sums(grid, planes, [*keys, "__batch", "y"], "x", meta.width, p)
-        grid = _box_sums(grid, planes, [*keys, "__batch", "x"], "y", meta.height, p)
-    best = F.least(*[F.struct((-F.col(c)).alias("v"), (F.col("__batch") * PLANES + k).alias("k")) for k, c in enumerate(planes)]) if width > 1 else F.struct((-F.col(planes[0])).alias("v"), (F.col("__batch") * PLANES).alias("k"))
-    won = grid.select(*keys, "y", "x", best.alias("best"))
-    if batches > 1:
-        won = won.groupBy(*keys, "y", "x").agg(F.min("best").alias("best"))
-    return won.select(*keys, "y", "x", F.col("best.k").cast("int").alias("label"))
+    halo = p * iterations
+    side = tile_side(halo)
+    exact = np.int64 if kernel ** (2 * iterations) < 2**63 else np.float64
+
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf["__ty"].iloc[0]), int(pdf["__tx"].iloc[0])
+        y0, x0, y1, x1 = tile_window(ty, tx, meta, side, halo)
+        y, x = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
+        image = np.full((y1 - y0, x1 - x0), -1, np.int32)
+        image[y, x] = pdf["label"].fillna(-1)
+        most, won = np.zeros(image.shape, exact), np.full(image.shape, -1, np.int32)
+        for k in np.unique(image):
+            if k < 0 or classes is not None and k >= classes:
+                continue
+            count = (image == k).astype(exact)
+            for _ in range(iterations):
+                count = _box_sums(count, p)
+            more = count > most
+            most[more], won[more] = count[more], k
+        core = (pdf["y"] // side == ty) & (pdf["x"] // side == tx)
+        found = pd.Series(won[y, x], pdf.index)
+        return pdf.assign(label=found.astype("Int32").where(found >= 0))[core][[*keys, "y", "x", "label"]]
+
+    cells = labels.select(*keys, "y", "x", F.col("label").cast("int").alias("label"))
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in cells.dtypes)
+    return in_tiles(cells, meta, side, halo).groupBy(*keys, "__ty", "__tx").applyInPandas(smooth, kinds)
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -101,6 +109,18 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [w / total for w in raw]
 
 
+def gaussian_plane(plane: np.ndarray, weights: list[float]) -> np.ndarray:
+    """One plane blurred along x, then y, edges mirrored; the sums of ``gaussian_blur`` in its order."""
+    radius = len(weights) // 2
+    for axis in (1, 0):
+        ends, n = [(0, 0), (0, 0)], plane.shape[axis]
+        ends[axis] = (radius, radius)
+        wide, plane = np.pad(plane, ends, "reflect"), np.zeros_like(plane)
+        for d, w in enumerate(weights):
+            plane += w * (wide[:, d : d + n] if axis else wide[d : d + n])
+    return plane
+
+
 def gaussian_blur(df: DataFrame, meta: RasterMeta, sigma: float, values: list[str], keys: list[str] | None = None) -> DataFrame:
     """Separable Gaussian blur of dense columns, edges mirrored; sigma of zero or less changes nothing.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import RasterMeta
+
 
 def padding(length: Column | str, r: int | Column) -> Column:
     """Pixels that fill the last block of an axis."""
@@ -79,6 +81,24 @@ def in_windows(pixels: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     return dealt.join(spread, ["__by", "__bx"]).where("y >= y0 AND y < y1 AND x >= x0 AND x < x1").drop("__by", "__bx")
 
 
+def tile_side(halo: int) -> int:
+    """A side of square tiles at which a halo at most doubles the cells (2.25 times at the widest halos)."""
+    return max(256, 4 * halo)
+
+
+def in_tiles(cells: DataFrame, meta: RasterMeta, side: int, halo: int) -> DataFrame:
+    """Rows (y, x, ...) with each tile (__ty, __tx) of a square grid whose core, grown by ``halo``, holds them: no join, no shuffle."""
+    out = cells
+    for tile, axis, length in (("__ty", "y", meta.height), ("__tx", "x", meta.width)):
+        out = out.withColumn(tile, F.explode(F.expr(f"sequence(greatest(0, {axis} - {halo}) div {side}, least({length - 1}, {axis} + {halo}) div {side})").cast("array<int>")))
+    return out
+
+
+def tile_window(ty: int, tx: int, meta: RasterMeta, side: int, halo: int) -> tuple[int, int, int, int]:
+    """(y0, x0, y1, x1) of a tile's grown core within the raster."""
+    return max(0, ty * side - halo), max(0, tx * side - halo), min(meta.height, (ty + 1) * side + halo), min(meta.width, (tx + 1) * side + halo)
+
+
 def stitch(chunked: DataFrame, value: str, cell: list[str], chunk: str = "chunk", keys: list[str] | None = None) -> DataFrame:
     """The value of the last chunk that wrote each cell."""
     return chunked.groupBy(*(keys or []), *cell).agg(F.max_by(value, chunk).alias(value), F.max(chunk).alias(chunk))

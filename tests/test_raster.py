@@ -1,6 +1,7 @@
 """Raster operators against NumPy on small images."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,39 @@ def test_blur_labels(spark, h, w, classes, kernel, iterations):
     assert (array_of(got, RasterMeta(h, w, 1)) == numpy_blur(a, kernel, iterations)).all()
 
 
+@pytest.mark.parametrize(("kernel", "iterations"), [(3, 1), (9, 2), (65, 3)])
+def test_blur_over_tiles(spark, kernel, iterations):
+    """More than one tile along both axes, tiles cut short at the edges, two rasters in one table."""
+    h, w = 300, 530
+    a = np.kron(np.random.default_rng(3).integers(0, 5, (30, 53)), np.ones((10, 10), int))
+    frame = pd.DataFrame({"y": np.repeat(np.arange(h), w), "x": np.tile(np.arange(w), h), "label": a.ravel()})
+    df = spark.createDataFrame(frame).selectExpr("explode(array('a', 'b')) AS raster_id", "CAST(y AS INT) y", "CAST(x AS INT) x", "CAST(IF(raster_id = 'a', label, 4 - label) AS INT) AS label")
+    got = focal.blur_labels(df, RasterMeta(h, w, 1), kernel, iterations, keys=["raster_id"]).toPandas()
+    assert got.columns.tolist() == ["raster_id", "y", "x", "label"] and len(got) == 2 * h * w
+    for name, image_ in (("a", a), ("b", 4 - a)):
+        part = got[got["raster_id"] == name].sort_values(["y", "x"])
+        assert (part["label"].to_numpy().reshape(h, w) == fast_blur(image_, kernel, iterations)).all()
+
+
+def fast_blur(labels, kernel, iterations):
+    p, counts = kernel // 2, []
+    for k in range(labels.max() + 1):
+        v = (labels == k).astype(np.int64)
+        for _ in range(iterations):
+            for axis in (0, 1):
+                wide = np.pad(v, [(p, p) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
+                v = np.lib.stride_tricks.sliding_window_view(wide, kernel, axis).sum(-1)
+        counts.append(v)
+    return np.argmax(counts, 0)
+
+
+def test_blur_of_nulls(spark):
+    rows = [(y, x, None if x < 6 else 1) for y in range(3) for x in range(9)]
+    df = spark.createDataFrame(rows, "y int, x int, label int")
+    got = {(r["y"], r["x"]): r["label"] for r in focal.blur_labels(df, RasterMeta(3, 9, 1), 3, 1).collect()}
+    assert got == {(y, x): 1 if x >= 5 else None for y in range(3) for x in range(9)}
+
+
 def test_blur_guards(spark):
     df = labels_df(spark, np.zeros((2, 2), int))
     assert focal.blur_labels(df, RasterMeta(2, 2, 1), 1) is df
@@ -358,6 +392,31 @@ def test_chunks_blend_into_one_map(spark):
         blend.process_in_chunks(px, meta, 64, 64, 2, lambda x: {}).collect()
 
 
+def test_finalize_over_tiles(spark):
+    """Scores of several tiles against whole planes in NumPy; labels sent straight to the tiles give the same."""
+    h, w, size, classes = 40, 600, 30, 3
+    a = np.kron(np.random.default_rng(5).integers(0, classes, (8, 120)), np.ones((5, 5), int))
+    meta = RasterMeta(h, w, 1)
+    frame = pd.DataFrame({"y": np.repeat(np.arange(h), w), "x": np.tile(np.arange(w), h), "label": a.ravel()}).astype(np.int32)
+    chunked = grid.in_windows(spark.createDataFrame(frame), grid.chunk_windows(spark, h, w, size, 20), size)
+    scores = blend.weighted_scores(chunked, size, classes)
+    planes = np.zeros((2, classes, h, w))
+    for r in scores.collect():
+        planes[:, r["k"], r["y"], r["x"]] = r["score"], r["weight"]
+    taps = np.array(focal.gaussian_weights(blend.blend_sigma(size)))
+    n = len(taps) // 2
+    wide = np.pad(planes, [(0, 0), (0, 0), (n, n), (n, n)], mode="reflect")
+    soft = sum(taps[i] * taps[j] * wide[:, :, i : i + h, j : j + w] for i in range(2 * n + 1) for j in range(2 * n + 1))
+    share = soft[0] / np.maximum(soft[1], 1e-6)
+    top = np.sort(share, 0)
+    clear = top[-1] - top[-2] > 1e-9
+    got = array_of(blend.finalize(scores, meta, size, classes), meta)
+    assert clear.mean() > 0.99 and (got == share.argmax(0))[clear].all()
+    assert (array_of(blend.blended_labels(chunked, meta, size, classes), meta) == got)[clear].all()
+    half = array_of(blend.finalize(scores.where("x < 100"), meta, size, classes), meta)  # whole raster, zero where nothing is known
+    assert (half[:, 300:] == 0).all() and (half[:, :60] == got[:, :60])[clear[:, :60]].all()
+
+
 def test_batches():
     assert tiles.recommended_batch(3, 512, 512) == (128 << 20) // 8 // (3 * 512 * 512 * 4 * 3) and tiles.recommended_batch(0, 0, 0, 1) == 1
     with pytest.raises(RuntimeError):
