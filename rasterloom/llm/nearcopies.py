@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import add_columns, lookup, stored
+from .common import add_columns, is_small, lookup, stored
 from .components import components
 
 SEED, WORDS, LEAST, BITS, RECALL = 42, 5, 0.8, 128, 0.985
@@ -28,9 +28,10 @@ SHARE = math.acos(2 * LEAST / (1 + LEAST)) / math.pi
 RADIUS = next(r for r in range(BITS) if sum(math.comb(BITS, d) * SHARE**d * (1 - SHARE) ** (BITS - d) for d in range(r + 1)) >= 0.999)
 #: Fingerprints of a shard on average. Wide radii cut few edges, so shards are chosen for few copies of each fingerprint.
 SHARD = 768
-#: Nodes of a block; a group's nodes are compared at once where they are no more.
-BLOCK = 1024
-FIELDS = [T.StructField("digest", T.LongType()), T.StructField("f0", T.LongType()), T.StructField("f1", T.LongType())]
+#: Nodes of a block, and their shingles; a group's nodes are compared at once where they are no more. Long texts fill a
+#: block sooner, so that what a task holds doesn't grow with their length.
+BLOCK, BLOCK_SHINGLES = 1024, 2 << 20
+FIELDS = [T.StructField(n, T.LongType()) for n in ("__digest", "__f0", "__f1", "__size")]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -69,7 +70,8 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def featured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns, ``digest`` of the set of shingles and its SimHash, ``f0`` and ``f1`` (null where it is empty)."""
+    """The ``keep`` columns, ``__digest`` of the set of shingles, its SimHash, ``__f0`` and ``__f1`` (null where it is empty),
+    and its ``__size``."""
 
     def work():
         import xxhash
@@ -79,7 +81,8 @@ def featured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             prints = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             blank = np.array([not len(s) for s in sets], bool)
-            return [pa.array(digests), *[pa.array(np.ascontiguousarray(prints[:, k]), mask=blank) for k in (0, 1)]]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            return [pa.array(digests), *[pa.array(np.ascontiguousarray(prints[:, k]), mask=blank) for k in (0, 1)], sizes]
 
         return each
 
@@ -122,17 +125,22 @@ def candidate_groups(sets: DataFrame) -> DataFrame:
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each group of near copies, that with the smallest key (a null key only where all are null).
 
-    Groups are closed under chains of links. Null and blank texts are one group. An empty table: no rows.
+    Groups are closed under chains of links. Null and blank texts are one group. An empty table: no rows. Other columns
+    pass through whatever their names, but for those that begin with two underscores.
     """
     rows = stored(featured(df, text, df.columns).withColumn("__row", F.monotonically_increasing_id()), "featured")
     first = F.min(F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.col("__row").alias("row")))
-    each = stored(rows.groupBy("digest").agg(first.alias("first"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "distinct-sets")
+    same = [F.first(f"__{c}").alias(c) for c in ("f0", "f1", "size")]  # equal sets, equal values
+    each = stored(rows.groupBy(F.col("__digest").alias("digest")).agg(first.alias("first"), *same), "distinct-sets")
     groups = candidate_groups(each.select("digest", "f0", "f1"))
-    sizes = stored(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "group-sizes")
-    members = stored(lookup(groups, sizes, ["root"], "inner", 48).join(each.select(F.col("digest").alias("node"), F.col("first.row").alias("__row")), "node"), "candidates")
-    texts = lookup(rows.select("__row", F.col(text).alias("text")), members.select("__row", F.col("node").alias("digest"), "root", "blocks"), ["__row"], "inner", 64)
+    found = stored(groups.join(each.select(F.col("digest").alias("node"), F.col("first.row").alias("__row"), "size"), "node"), "candidates")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    sizes = stored(found.groupBy("root").agg(blocks.alias("blocks")), "group-sizes")
+    members = lookup(found, sizes, ["root"], "inner", 48).select("__row", F.col("node").alias("digest"), "root", "blocks")
+    members = F.broadcast(members) if is_small(found, 64) else members
+    texts = rows.select("__row", F.col(text).alias("__text")).join(members, "__row")
     own, other = F.expr("pmod(xxhash64(digest), blocks)"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = texts.select("root", "digest", "text", own.alias("own"), other.alias("other")).select("root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "digest", "text")
+    dealt = texts.select("root", "digest", F.col("__text").alias("text"), own.alias("own"), other.alias("other")).select("root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "digest", "text")
     dealt = dealt.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two", "digest")
     links = dealt.mapInArrow(_linked, "a long, b long")
     groups = stored(components(links), "near-copy-groups").withColumnRenamed("node", "digest")

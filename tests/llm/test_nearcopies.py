@@ -36,7 +36,17 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     far = [p for p in pairs if (simhash.fingerprint(texts[p[0]]) ^ simhash.fingerprint(texts[p[1]])).bit_count() > simhash.RADIUS]
     assert len(far) > 50  # four bits of SimHash leave these
     docs = spark.createDataFrame([(d, t, "en", None, None) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    for block in (nearcopies.BLOCK, 2):
+    for block, held in ((nearcopies.BLOCK, nearcopies.BLOCK_SHINGLES), (2, nearcopies.BLOCK_SHINGLES), (nearcopies.BLOCK, 500)):
         monkeypatch.setattr(nearcopies, "BLOCK", block)
+        monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", held)
         got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
         assert got == sorted(d for d in least if least[d] == d)
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "one two three four five six", 10), (2, "one two three four five six", 20), (3, "quite another text", 30)]
+    names = ["digest", "f0", "f1", "size", "root", "node", "one", "two", "own", "other", "blocks", "first"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, v int").selectExpr("doc_id", "text", *[f"v + {k} AS {n}" for k, n in enumerate(names)])
+    got = nearcopies.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in docs.where("doc_id <> 2").collect())
