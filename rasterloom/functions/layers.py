@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,14 +32,14 @@ def is_renderable(layer_type: str = "layer_type", provider: str = "provider_name
     return F.when(F.col(provider).isNull(), False).otherwise(low.isin(*WEB_PROVIDERS) | F.coalesce(F.col(layer_type) == "VectorLayer", F.lit(False)) | ((low == "gdal") & F.coalesce(remote, F.lit(False))))
 
 
+@F.arrow_udf(T.StringType())
+def _shortest(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else repr(v) for v in x.to_pylist()], pa.string())
+
+
 def plain_number(x: str) -> Column:
-    """A double's shortest digits, in decimal notation from 1e-4 up to 1e16, else like 1.5e-05."""
-    said, size = F.col(x).cast("double").cast("string"), F.abs(F.col(x).cast("double"))
-    digits = F.regexp_replace(said.try_cast("decimal(38, 20)").cast("string"), "0+$", "")
-    decimal = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    power = F.regexp_extract(said, r"E(-?\d+)$", 1).try_cast("int")
-    raised = F.concat(F.regexp_replace(F.split_part(said, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    return F.when(F.isnull(power), said).when((size >= 1e-4) & (size < 1e16), decimal).otherwise(raised)
+    """A double's shortest digits, in decimal notation from 1e-4 up to 1e16, else like 1.5e-05; before version 19, Java's own may be longer."""
+    return _shortest(F.col(x).cast("double"))
 
 
 def extent_string(xmin: str = "xmin", ymin: str = "ymin", xmax: str = "xmax", ymax: str = "ymax", crs: str = "crs") -> Column:

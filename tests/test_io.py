@@ -218,6 +218,14 @@ def test_extents(spark):
     assert [r["extent"] for r in sorted(got)] == ["1.0,3.0,2.0,4.5 [EPSG:4326]", "1.0,3.0,2.0,4.5"]
 
 
+def test_plain_numbers_have_the_shortest_digits(spark):
+    bits = np.random.default_rng(0).integers(0, 2**64, 20_000, dtype=np.uint64).view(np.float64)
+    xs = [1.1813e21, -1.1823e21, 2e23, 5e-324, 2.0**-44, 9007199254740993.0 * 1.1, 1e16, 9999999999999998.0, 1e-4, 9.999e-5, -0.0, float("inf"), float("nan"), *bits.tolist()]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*xs, None])], "k int, x double")
+    got = [r["s"] for r in df.select("k", layers.plain_number("x").alias("s")).orderBy("k").collect()]
+    assert got == [*map(repr, xs), None]
+
+
 MESSAGES = [("Smoothing 50% done", "smooth", 50), ("kNN step 3/4", "latent", 75), ("Step 1 / 0", None, None), ("render 250 %", "render", 100), ("plan chunk 5%", "chunk_plan", 5), ("hello", None, None), (None, None, None), ("queue step 9/3", "queue", 100), ("7% x", "inference", 7), ("step 1/8 prepare", "prepare", 12)]
 
 

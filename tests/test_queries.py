@@ -37,6 +37,15 @@ def test_query(spark, duck, name):
         assert rows_of(got.columns, rows) == rows_of(want.columns, want.fetchall())
 
 
+def test_extent_string_of_large_keys(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT unnest([-11813, 0, 11808, 11813, 11823, 59998, 60001, 123456788, 9007199254740, 90071992547413]) AS s_suppkey) TO '{tmp_path}/supplier.parquet'")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    want = con.sql(queries.ORACLE_SQL["extent_string"])
+    got = queries.QUERIES["extent_string"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_entry_without_the_subpackage():
     code = """
 import sys
